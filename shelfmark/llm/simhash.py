@@ -1,64 +1,108 @@
 """Operator 2: SimHash near-duplicates through sharded BK-trees.
 
-Each whole text becomes a 64-bit fingerprint. Equal fingerprints form a class. Fingerprints that
-differ in at most r bits agree on whole blocks of bits, so each class is dealt to one shard for every
-choice of blocks; a shard of at most SHARD classes is a BK-tree (children keyed by integer Hamming
-distance to the parent), and its members search it along edges within the radius. A larger shard is
-split: every tree of SHARD classes is sent to each part of the shard's members. A shard yields at
-most one link per member (to the least of its component there), and alternating stars over tables in
-the shared folder join the links to components; nothing is collected to the driver.
+Each whole text becomes a fingerprint. Equal fingerprints form a class. Classes that may lie within
+the radius are dealt to a common shard; a shard of at most SHARD classes is a BK-tree (children keyed
+by integer Hamming distance to the parent), and its members search it along edges within the radius.
+A larger shard is split: every tree of SHARD classes is sent to each part of the shard's members. A
+shard yields at most one link per member (to the least of its component there), and alternating
+stars over tables in the shared folder join the links to components; nothing is collected to the driver.
+
+group() is exact: fingerprints of 64 bits that differ in at most r bits agree on whole blocks of bits,
+so each class goes to one shard for every choice of blocks. survivors() looks for texts whose word
+shingles are similar by a share of 0.8 or more, which 64-bit fingerprints hold up to 18 bits apart:
+it takes 128 bits and deals by MINHASHES minimal shingle hashes (two texts of similarity 0.8 share
+none of them with a probability of 0.2**MINHASHES).
 
 Null or empty text: fingerprint zero, linked like any other. A null doc_id counts after every id: the
 row is kept, and its component_id is the least id of its component, null if there is none. Repeated
-rows are kept. Tables without rows give none. Other columns of the input are ignored.
+rows are kept by group(); survivors() keeps one row of them. Tables without rows give none. Other
+columns of the input are ignored by group(), and kept by survivors().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.llm.common import staged, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Classes of one BK-tree.
 SHARD = 4096
-#: Bits that all of a shard's members share on average, at the least, grow with the corpus up to this mean size of a shard.
+#: The blocks of bits that a shard's members share are so chosen that a mean shard stays below this.
 MEAN_SHARD = 256
+#: For survivors(): words of a shingle, similarity, bits, minimal hashes, and standard deviations that the radius allows for.
+NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINHASHES, SLACK = 5, 0.8, 128, 8, 0.9
+_ODD = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 3, 2**64)) for i in range(MINHASHES)]
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """The majority of the bits of the hashes of k-word shingles, repeats included."""
+def shingle_hashes(text: str | None, k: int, bits: int) -> np.ndarray:
+    """The hashes of the k-word shingles, repeats included, as rows of bytes (little-endian)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+    digest, size = (xxhash.xxh64_intdigest, 8) if bits == 64 else (xxhash.xxh3_128_intdigest, 16)
     if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        return np.zeros((0, size), np.uint8)
+    joined = b" ".join(words)
     if len(words) <= k:
-        return digest(joined, SEED)
+        return np.frombuffer(digest(joined, SEED).to_bytes(size, "little"), np.uint8).reshape(1, size)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n, ones = len(words) - k + 1, np.zeros(64, np.int64)
-    h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64, n)
-    for i in range(0, n, 65_536):
-        part = h[i : i + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    n = len(words) - k + 1
+    spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
+    if bits == 64:
+        return np.fromiter([digest(joined[a:b], SEED) for a, b in spans], np.uint64, n).view(np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(n, 16)[:, ::-1]
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the rows."""
+    ones = np.zeros(hashes.shape[1] * 8, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[i : i + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, k: int = SHINGLE, bits: int = 64) -> int:
+    return majority(shingle_hashes(text, k, bits))
+
+
+def minima(hashes: np.ndarray) -> list[int]:
+    """Minimal shingle hashes under MINHASHES orders; empty texts share one key."""
+    if not len(hashes):
+        return [0]
+    u = np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel()
+    u = u ^ (u >> np.uint64(31))
+    found = []
+    for i, m in enumerate(_ODD):
+        x = u * m
+        x ^= x >> np.uint64(32)
+        found.append(int((x * _ODD[i - 1]).min() ^ m) - 2**63)
+    return found
+
+
+def fingerprints(docs: DataFrame, k: int = SHINGLE, bits: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp (big-endian bytes), and for wide fingerprints the keys of the shards and a hash of the text."""
+    wide = bits > 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            found, keys = [], []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), k, bits)
+                found.append(majority(h).to_bytes(bits // 8, "big"))
+                if wide:
+                    keys.append(minima(h))
+            more = [pa.array(keys, pa.list_(pa.int64())), batch.column(2)] if wide else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *more], ["doc_id", "fp", *(["keys", "tag"] if wide else [])])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("tag")] if wide else []))
+    return rows.mapInArrow(run, "doc_id long, fp binary" + ", keys array<long>, tag long" * wide)
 
 
 class BKTree:
@@ -138,11 +182,23 @@ def masks(n: int, radius: int) -> list[int]:
     return choices
 
 
-def links(classes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links a < b (as unsigned numbers) between the fingerprints of a column fp without repeats, that join what lies within the radius."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(n, radius))]
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+def block_keys(classes: DataFrame, n: int, radius: int) -> DataFrame:
+    """key, fp: a row for each of the shards that a 64-bit fingerprint is dealt to."""
+    chosen = [np.uint64(m) for m in masks(n, radius)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64)
+            for i, m in enumerate(chosen):
+                key = (fp & m) * _ODD[0] + np.uint64(i) * _ODD[1]
+                key = (key ^ (key >> np.uint64(32))) * _ODD[2]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
+
+    return classes.select("fp").mapInArrow(run, "key long, fp binary")
+
+
+def links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links a < b between fingerprints that share a key (columns key, fp, without repeats): they join what lies within the radius."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
     rows = rows.join(sizes, F.col("key") == F.col("_key"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -153,7 +209,8 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         rest = None
         for batch in _with_end(batches):
             if batch is not None:
-                cols = [np.asarray(batch.column(c)) for c in range(5)]
+                cols = [*(np.asarray(batch.column(c)) for c in range(4)), np.array([int.from_bytes(x, "big") for x in batch.column(4).to_pylist()], object)]
+                size = len(batch.column(4)[0].as_py()) if batch.num_rows else 8
                 rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
@@ -162,18 +219,18 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             cuts = [0, *new.tolist(), *([len(key)] if batch is None else [])]
             found: list[tuple[int, int]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                values, own = fp[a:b].view(np.uint64).tolist(), part[a:b]
+                values = fp[a:b].tolist()
                 if i[a] == j[a]:
                     found += links_of_shard(values, None, radius)
                 else:
-                    cut = int((own == i[a]).sum())
+                    cut = int((part[a:b] == i[a]).sum())
                     found += links_of_shard(values[:cut], values[cut:], radius)
             rest = [c[cuts[-1] :] for c in rest]
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            sides = [pa.array([p[k].to_bytes(size, "big") for p in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -182,7 +239,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node as a signed number) for every node of the links a, b, by alternating stars until nothing changes."""
+    """node, root (the least node) for every node of the links a, b, by alternating stars until nothing changes."""
     edges = staged(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
     mark = None
     while True:
@@ -201,21 +258,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
 
 
+def rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes (fp, ...) with the root of each one's component."""
+    return staged(classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "roots")
+
+
 def group(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, fp, component_id (the least doc_id reachable over links)."""
-    rows = staged(fingerprints(docs, k, doc_id, text), "fingerprints")
+    """Per document: doc_id, fp, component_id (the least doc_id reachable over links of 64-bit fingerprints)."""
+    rows = staged(fingerprints(docs, k, 64, doc_id, text), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    found = components(links(classes.select("fp"), classes.count(), radius))
-    known = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    known = staged(known, "roots")
+    known = rooted(classes, components(links(block_keys(classes, classes.count(), radius), radius)))
     least = known.groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("component_id"))
     label = known.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(label, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def hexed(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def near_radius(similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> int:
+    """Bits by which fingerprints of texts with this Jaccard similarity differ on average, and SLACK standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
+
+
+def survivors(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with one row (the least doc_id, null last) of each group of near copies."""
+    last = F.lit(2**63 - 1)
+    rows = staged(fingerprints(docs, k, NEAR_BITS, doc_id, text), "fingerprints")
+    first = F.min(F.struct(F.coalesce("doc_id", last).alias("id"), F.col("tag").alias("tag"))).alias("first")
+    classes = staged(rows.groupBy("fp").agg(first, F.first("keys").alias("keys")), "classes")
+    dealt = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "fp")
+    known = rooted(classes, components(links(dealt, near_radius(similarity))))
+    chosen = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.tag").alias("_keep_tag"))
+    keyed = docs.withColumns({"_near_id": F.coalesce(F.col(doc_id).cast("long"), last), "_near_tag": F.xxhash64(text)})
+    kept = keyed.join(chosen, (F.col("_near_id") == F.col("_keep_id")) & (F.col("_near_tag") == F.col("_keep_tag")), "left_semi")
+    return kept.dropDuplicates(["_near_id", "_near_tag"]).drop("_near_id", "_near_tag")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    return group(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

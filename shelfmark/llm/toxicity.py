@@ -100,29 +100,48 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
 _WORKER: dict = {}
 
 
+class Scorer:
+    """A text's score under sparse weights."""
+
+    def __init__(self, at: bytes, w: bytes, b: float):
+        self.dense, self.b = np.zeros(2**BITS), b
+        self.dense[np.frombuffer(at, np.uint32)] = np.frombuffer(w, np.float64)
+        self.hashes = _WORKER.setdefault("hashes", WordHashes())
+
+    def __call__(self, text: str | None) -> float:
+        x = features(text, self.hashes)
+        x = np.unique(x[self.dense[x] != 0])
+        return float(1 / (1 + np.exp(-np.clip(self.dense[x].sum() + self.b, -35, 35))))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     at, w, b = model
     shared = docs.sparkSession.sparkContext.broadcast((at.tobytes(), w.tobytes(), b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, b = shared.value
-        dense = np.zeros(2**BITS)
-        dense[np.frombuffer(at, np.uint32)] = np.frombuffer(w, np.float64)
-        hashes = _WORKER.setdefault("hashes", WordHashes())
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            scores = []
-            for t in batch.column("text"):
-                x = features(t.as_py(), hashes)
-                x = np.unique(x[dense[x] != 0])
-                scores.append(1 / (1 + np.exp(-np.clip(dense[x].sum() + b, -35, 35))))
-            s = np.array(scores)
+            s = np.array([scorer(t.as_py()) for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose text scores threshold or more."""
+    at, w, b = model
+    shared = docs.sparkSession.sparkContext.broadcast((at.tobytes(), w.tobytes(), b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py()) < threshold for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

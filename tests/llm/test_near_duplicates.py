@@ -37,7 +37,7 @@ def slow_components(values, radius):
 def test_fingerprints_and_components(docs, empty):
     rows = docs.collect()
     want = {(r.doc_id, format(slow_fingerprint(r.text), "016x")) for r in rows}
-    got = simhash.group(docs).select("doc_id", simhash.hexed(simhash.F.col("fp")).alias("fingerprint"), "component_id").collect()
+    got = simhash.group(docs).select("doc_id", simhash.F.lower(simhash.F.hex("fp")).alias("fingerprint"), "component_id").collect()
     assert {(r.doc_id, r.fingerprint) for r in got} == want and len(got) == len(rows)
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == slow_components([(r.doc_id, slow_fingerprint(r.text)) for r in rows], 4)
     assert simhash.group(empty).count() == 0
@@ -56,20 +56,41 @@ def test_links_of_clustered_values(spark, monkeypatch, blocks_for):
                 v ^= 1 << r.randrange(64)
             values.add(v)
     monkeypatch.setattr(simhash, "SHARD", 7)
-    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
-    classes = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = simhash.components(simhash.links(classes, blocks_for, 4)).collect()
-    root = {x.node: x.root for x in found}
+    classes = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in sorted(values)], "fp binary")
+    found = simhash.components(simhash.links(simhash.block_keys(classes, blocks_for, 4), 4)).collect()
+    root = {int.from_bytes(x.node, "big"): int.from_bytes(x.root, "big") for x in found}
     groups = {}
-    for v in signed:
+    for v in values:
         groups.setdefault(root.get(v, v), set()).add(v)
     ranked = sorted(values)
     want = {}
     for a, b in slow_components(list(enumerate(ranked)), 4):
-        want.setdefault(b, set()).add(signed[a])
+        want.setdefault(b, set()).add(ranked[a])
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_survivors(spark, docs, empty):
+    r = random.Random(12)
+    rows = []
+    for g in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(150, 400))]
+        for c in range(r.choice([1, 1, 2, 5])):
+            copy = list(words)
+            for _ in range(int(len(words) * 0.015) if c else 0):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy), g))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, keys int")
+    left = simhash.survivors(frame).collect()
+    assert {x["keys"] for x in left} == set(range(40)) and len(left) <= 42
+    first = {}
+    for i, _, g in rows:
+        first.setdefault(g, i)
+    assert {first[g] for g in range(40)} <= {x.doc_id for x in left}
+    kept = simhash.survivors(docs)
+    texts = [x.text for x in kept.collect()]
+    assert kept.schema == docs.schema and len(texts) == len(set(texts)) and simhash.survivors(empty).count() == 0
+
+
 def test_tree_search_is_exact():
     r = random.Random(9)
     values = list({r.getrandbits(12) for _ in range(500)})
