@@ -1,10 +1,524 @@
-"""The catalogue's registered queries with their DuckDB SQL."""
+"""The catalogue's registered queries, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from shelfmark.functions import display, scalars
+from shelfmark.operators import progress, rescan, search, setops, tags, tree
+from shelfmark.operators.search import SearchCriteria
+from shelfmark.sources import adapters, sinks
+from shelfmark.sources.adapters import CUSTOMER, NATION, ORDER, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    """Enters a query under its function's name."""
+
+    def enter(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return enter
+
+
+# Search ------------------------------------------------------------------------------------------------
+
+
+@register("SELECT p_partkey AS item_id, p_name AS name FROM part WHERE lower(p_name) GLOB '*ring' OR lower(p_name) GLOB 'red*'")
+def search_mask(spark, d):
+    return search.search(adapters.parts_catalog(spark, d), SearchCriteria("*ring;red*")).select("item_id", "name")
+
+
+@register("SELECT p_partkey AS item_id, p_name AS name FROM part WHERE contains(lower(p_name), 'an')")
+def search_substring(spark, d):
+    return search.search(adapters.parts_catalog(spark, d), SearchCriteria("AN")).select("item_id", "name")
+
+
+@register("SELECT p_partkey AS item_id, p_name AS name FROM part WHERE lower(p_name) GLOB '?[a-z]*e*r?n*'")
+def search_mask_regex(spark, d):
+    return search.search(adapters.parts_catalog(spark, d), SearchCriteria("??*e*r?n*")).select("item_id", "name")
+
+
+@register("SELECT doc_id AS item_id, n_chars AS length FROM documents WHERE n_chars BETWEEN 512 AND 2560")
+def search_size_kb(spark, d):
+    return search.search(adapters.docs_catalog(spark, d), SearchCriteria(size_from="0.5", size_to="2.5")).select("item_id", "length")
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id, o_orderdate AS creation_time FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'")
+def search_date(spark, d):
+    c = SearchCriteria(date_from=datetime(1997, 1, 1), date_to=datetime(1997, 12, 31))
+    return search.search(adapters.order_files(spark, d), c).select("item_id", "creation_time")
+
+
+@register("SELECT p_partkey AS item_id FROM part WHERE p_brand IN ('Brand#12', 'Brand#33') OR p_type = 'ECONOMY'")
+def search_kw_any(spark, d):
+    c = SearchCriteria(keywords="brand#12;BRAND#33;economy", treat_keywords_as_wildcard=False)
+    return search.search(adapters.parts_catalog(spark, d), c).select("item_id")
+
+
+@register("SELECT p_partkey AS item_id FROM part WHERE p_brand = 'Brand#12' AND p_type = 'ECONOMY'")
+def search_kw_all(spark, d):
+    c = SearchCriteria(keywords="Brand#12;ECONOMY", all_keywords_needed=True, case_sensitive_keywords=True, treat_keywords_as_wildcard=False)
+    return search.search(adapters.parts_catalog(spark, d), c).select("item_id")
+
+
+@register("SELECT p_partkey AS item_id FROM part WHERE contains(lower(p_brand), '#2') OR contains(lower(p_type), '#2') OR lower(p_brand) GLOB 'prom*' OR lower(p_type) GLOB 'prom*'")
+def search_kw_wildcard(spark, d):
+    return search.search(adapters.parts_catalog(spark, d), SearchCriteria(keywords="#2;prom*")).select("item_id")
+
+
+@register("SELECT p_partkey AS item_id FROM part WHERE CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) IN (11, 12, 21)")
+def search_volumes(spark, d):
+    return search.search(adapters.parts_catalog(spark, d), SearchCriteria(search_in_volumes=(11, 12, 21))).select("item_id")
+
+
+@register("SELECT p_partkey AS item_id FROM part WHERE CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) IN (SELECT r_regionkey + 11 FROM region)")
+def search_volume_table(spark, d):
+    volumes = table(spark, d, "region").select((F.col("r_regionkey") + 11).cast("bigint").alias("volume_id"))
+    return search.in_volumes(adapters.parts_catalog(spark, d), volumes).select("item_id")
+
+
+@register("SELECT p_partkey AS item_id, p_name AS name, CAST(p_size AS BIGINT) AS length FROM part WHERE contains(lower(p_name), 'e') AND p_size BETWEEN 10 AND 41 AND contains(lower(p_brand || ';' || p_type), 'brand#1') AND CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) BETWEEN 10 AND 14")
+def search_all_criteria(spark, d):
+    c = SearchCriteria("*e*", size_from="0.01", size_to="0.04", keywords="Brand#1", search_in_volumes=(10, 11, 12, 13, 14))
+    return search.search(adapters.parts_catalog(spark, d), c).select("item_id", "name", "length")
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id FROM orders WHERE o_orderkey = 7")
+def find_item(spark, d):
+    return search.find_item(adapters.order_files(spark, d), 7 + ORDER).select("item_id")
+
+
+@register("SELECT doc_id AS item_id FROM documents WHERE lower(concat_ws('/', source, lang)) = 'src1/en'")
+def find_path(spark, d):
+    return search.find_path(adapters.docs_catalog(spark, d).withColumnRenamed("path", "full_name"), "SRC1/en").select("item_id")
+
+
+# Duplicates --------------------------------------------------------------------------------------------
+
+_KEYED = "SELECT p_partkey AS item_id, p_name || CAST(p_size AS VARCHAR) AS key FROM part"
+
+
+@register(f"WITH k AS ({_KEYED}) SELECT item_id, key FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)")
+def dup_name_length(spark, d):
+    return search.duplicates(adapters.parts_catalog(spark, d)).select("item_id", F.col("dup_key.key").alias("key"))
+
+
+@register("SELECT doc_id AS item_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def dup_crc(spark, d):
+    c = SearchCriteria(only_duplicates=True)
+    return search.search(adapters.docs_catalog(spark, d), c).select("item_id")
+
+
+@register("""WITH f AS (SELECT doc_id, text, lang, n_chars, doc_id % 3 = 0 AS plain FROM documents),
+k AS (SELECT doc_id AS item_id, CASE WHEN plain THEN 'N' || lang || CAST(n_chars AS VARCHAR) ELSE 'C' || text END AS key FROM f)
+SELECT item_id FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)""")
+def dup_mixed(spark, d):
+    rows = adapters.docs_catalog(spark, d).withColumn("name", F.col("lang")).withColumn("crc", F.when(F.col("item_id") % 3 == 0, 0).otherwise(F.col("crc")))
+    return search.duplicates(rows).select("item_id")
+
+
+# Totals, trees -----------------------------------------------------------------------------------------
+
+
+@register("SELECT count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS file_size FROM documents")
+def scan_totals(spark, d):
+    return progress.scan_totals(adapters.docs_catalog(spark, d))
+
+
+_TREE = f"""leaf AS (SELECT o_custkey + {CUSTOMER} AS customer, c_nationkey + {NATION} AS nation, CAST(n_regionkey AS BIGINT) AS region, CAST(round(o_totalprice) AS BIGINT) AS length
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@register(f"""WITH {_TREE}
+SELECT node AS item_id, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS direct_count, CAST(sum(CASE WHEN own THEN length ELSE 0 END) AS BIGINT) AS direct_size,
+       count(*) AS subtree_count, CAST(sum(length) AS BIGINT) AS subtree_size
+FROM (SELECT customer AS node, true AS own, length FROM leaf UNION ALL SELECT CAST(nation AS BIGINT), false, length FROM leaf UNION ALL SELECT region, false, length FROM leaf) GROUP BY node""")
+def tree_rollup(spark, d):
+    return tree.rollup(adapters.orders_catalog(spark, d), F.col("kind") == "File")
+
+
+@register(f"SELECT c_custkey + {CUSTOMER} AS item_id, r_name || '\\' || n_name || '\\' || c_name AS path_and_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def tree_path(spark, d):
+    return tree.paths(adapters.order_folders(spark, d)).where(F.col("item_id") >= CUSTOMER)
+
+
+@register(f"""SELECT CAST(r_regionkey AS BIGINT) AS item_id, CAST([] AS BIGINT[]) AS ancestors, 0 AS depth FROM region
+UNION ALL SELECT n_nationkey + {NATION}, [CAST(n_regionkey AS BIGINT)], 1 FROM nation
+UNION ALL SELECT c_custkey + {CUSTOMER}, [CAST(n_regionkey AS BIGINT), CAST(n_nationkey + {NATION} AS BIGINT)], 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def tree_ancestors(spark, d):
+    return tree.with_ancestors(adapters.order_folders(spark, d)).select("item_id", "ancestors", "depth")
+
+
+_FOLDERS = f"""folders AS (SELECT CAST(r_regionkey AS BIGINT) AS folder_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'Disc' ELSE 'PhysicalLocation' END AS folder_type FROM region
+  UNION ALL SELECT CAST(n_nationkey + {NATION} AS BIGINT), CAST(n_regionkey AS BIGINT), n_name, 'GeneralFolder' FROM nation)"""
+
+
+@register(f"WITH {_FOLDERS} SELECT f.folder_id, f.folder_type = 'Disc' OR coalesce(p.folder_type = 'Disc', false) AS is_part_of_disc, coalesce(p.folder_type = 'Disc', false) AS is_folder_of_disc FROM folders f LEFT JOIN folders p ON f.parent_id = p.folder_id")
+def is_part_of_disc(spark, d):
+    return tags.part_of_disc(adapters.region_folders(spark, d))
+
+
+@register(f"WITH {_FOLDERS} SELECT folder_id, name, folder_type FROM folders WHERE folder_id = 2 OR parent_id = 2")
+def subtree_of_disc(spark, d):
+    return tree.subtree(tree.with_ancestors(adapters.region_folders(spark, d), "folder_id"), [2], "folder_id").select("folder_id", "name", "folder_type")
+
+
+@register("""SELECT CAST(row_number() OVER (ORDER BY n_regionkey, CASE WHEN kind = 0 THEN '' ELSE n_name END, n_nationkey) AS INT) AS position, name FROM (
+  SELECT r_regionkey AS n_regionkey, 0 AS kind, '' AS n_name, r_name AS name, 0 AS n_nationkey, r_name AS rn FROM region
+  UNION ALL SELECT n_regionkey, 1, n_name, n_name, n_nationkey, '' FROM nation)""")
+def csv_preorder(spark, d):
+    """Regions are named by their key here, so that their order is known."""
+    rows = adapters.order_folders(spark, d).where(F.col("item_id") < CUSTOMER)
+    keys = tree.preorder_key(rows.withColumn("name", F.when(F.col("kind") == "Volume", F.col("item_id").cast("string")).otherwise(F.col("name"))))
+    place = F.row_number().over(search_window("preorder"))
+    return rows.join(keys, "item_id").select(place.cast("int").alias("position"), "name")
+
+
+def search_window(column: str):
+    from pyspark.sql.window import Window
+
+    return Window.orderBy(column)
+
+
+# Tags --------------------------------------------------------------------------------------------------
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id, CAST(c_nationkey + {NATION} AS BIGINT) AS folder_id, n_name AS folder_name, 'GeneralFolder' AS folder_type FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def tag_membership(spark, d):
+    found = tags.members(adapters.order_files(spark, d), adapters.customer_tags(spark, d), adapters.region_folders(spark, d))
+    return found.select("item_id", "folder_id", "folder_name", "folder_type")
+
+
+@register(f"""WITH {_TREE}
+SELECT CAST(f AS BIGINT) AS folder_id, CAST(coalesce(sum(length), 0) AS BIGINT) AS size, CAST(count(CASE WHEN own THEN length END) AS BIGINT) AS direct_count, count(length) AS subtree_count FROM (
+  SELECT nation AS f, length, true AS own FROM leaf UNION ALL SELECT region, length, false FROM leaf
+  UNION ALL SELECT n_nationkey + {NATION}, NULL, NULL FROM nation UNION ALL SELECT r_regionkey, NULL, NULL FROM region) GROUP BY f""")
+def folder_sizes(spark, d):
+    return tags.folder_sizes(adapters.region_folders(spark, d), adapters.customer_tags(spark, d), adapters.order_files(spark, d))
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3")
+def tag_contains(spark, d):
+    return tags.is_member(adapters.order_files(spark, d), adapters.customer_tags(spark, d), 3 + NATION).select("item_id")
+
+
+@register(f"""WITH t AS (SELECT o_orderkey + {ORDER} AS item_id, CAST(c_nationkey + {NATION} AS BIGINT) AS folder_id FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT item_id, folder_id FROM t UNION SELECT item_id, CAST(1 + {NATION} AS BIGINT) FROM t WHERE item_id % 10 = 0""")
+def tag_add_distinct(spark, d):
+    t = adapters.customer_tags(spark, d)
+    added = t.where("item_id % 10 = 0").select("item_id", F.lit(1 + NATION).cast("bigint").alias("folder_id"))
+    return tags.add_items(t, added.unionAll(added), distinct=True)
+
+
+@register(f"""WITH t AS (SELECT o_orderkey + {ORDER} AS item_id, CAST(c_nationkey + {NATION} AS BIGINT) AS folder_id FROM orders JOIN customer ON o_custkey = c_custkey)
+(SELECT * FROM t UNION ALL SELECT * FROM t WHERE item_id % 5 = 0) EXCEPT ALL SELECT * FROM t WHERE item_id % 2 = 0""")
+def tag_bag(spark, d):
+    t = adapters.customer_tags(spark, d)
+    return tags.remove_items(tags.add_items(t, t.where("item_id % 5 = 0")), t.where("item_id % 2 = 0"))
+
+
+@register(f"WITH {_FOLDERS} SELECT f.folder_id, CASE p.folder_type WHEN 'DiscCatalog' THEN 'Disc' WHEN 'Disc' THEN 'GeneralFolder' ELSE p.folder_type END AS folder_type FROM folders f JOIN folders p ON f.parent_id = p.folder_id")
+def child_types(spark, d):
+    f = adapters.region_folders(spark, d)
+    parents = f.select(F.col("folder_id").alias("_p"), F.col("folder_type").alias("_t"))
+    return f.join(parents, F.col("parent_id") == F.col("_p")).select("folder_id", tags.child_type(F.col("_t")).alias("folder_type"))
+
+
+@register(f"WITH {_FOLDERS} SELECT CASE WHEN folder_type = 'Disc' THEN 'Disc' WHEN folder_type = 'GeneralFolder' THEN 'General Folder' ELSE 'Physical Location' END AS label, CAST(CASE folder_type WHEN 'Disc' THEN 6 WHEN 'GeneralFolder' THEN 0 ELSE 1 END AS INT) AS number, count(*) AS n FROM folders GROUP BY ALL")
+def folder_type_labels(spark, d):
+    f = adapters.region_folders(spark, d)
+    return f.groupBy(display.type_label(F.col("folder_type")).alias("label"), tags.type_number(F.col("folder_type")).alias("number")).agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {_FOLDERS} SELECT f.folder_id, CASE WHEN p.folder_type = 'Disc' THEN 'DiscCatalog' ELSE f.folder_type END AS icon FROM folders f LEFT JOIN folders p ON f.parent_id = p.folder_id")
+def tag_icons(spark, d):
+    f = adapters.region_folders(spark, d)
+    held = tags.part_of_disc(f).select(F.col("folder_id").alias("_f"), "is_folder_of_disc")
+    return f.join(held, F.col("folder_id") == F.col("_f")).select("folder_id", display.icon_type(F.col("folder_type"), F.col("is_folder_of_disc")).alias("icon"))
+
+
+@register("""SELECT parent_id, name, count(*) AS n FROM (
+  SELECT CAST(n_regionkey AS BIGINT) AS parent_id, lower(left(n_name, 1)) AS name FROM nation WHERE n_regionkey % 2 = 0) GROUP BY ALL HAVING count(*) > 1""")
+def folder_name_clashes(spark, d):
+    return tags.name_clashes(adapters.region_folders(spark, d).withColumn("name", F.when(F.col("parent_id").isNull(), F.col("name")).otherwise(F.substring("name", 1, 1))))
+
+
+@register("""SELECT p_partkey AS item_id, CASE WHEN n = 0 THEN p_name ELSE p_name || ' (' || CAST(n AS VARCHAR) || ')' END AS unique_name
+FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) - 1 AS n FROM part)""")
+def unique_suffix(spark, d):
+    return tags.numbered_names(adapters.parts_catalog(spark, d), [], "name", ["item_id"]).select("item_id", "unique_name")
+
+
+@register(f"WITH {_FOLDERS} SELECT folder_id, name FROM folders WHERE NOT (folder_id = 2 OR coalesce(parent_id, -1) = 2)")
+def folder_remove(spark, d):
+    kept, _ = tags.remove_folder(adapters.region_folders(spark, d), adapters.customer_tags(spark, d), 2)
+    return kept.select("folder_id", "name")
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id, CAST(c_nationkey + {NATION} AS BIGINT) AS folder_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+def folder_remove_tags(spark, d):
+    return tags.remove_folder(adapters.region_folders(spark, d), adapters.customer_tags(spark, d), 2)[1]
+
+
+@register(f"""WITH {_FOLDERS}, top AS (SELECT max(folder_id) + 1 AS first FROM folders),
+tree AS (SELECT 3 AS item_id, CAST(NULL AS BIGINT) AS up, r_name AS name, 0 AS depth FROM region WHERE r_regionkey = 3
+  UNION ALL SELECT n_nationkey + {NATION}, 3, n_name, 1 FROM nation WHERE n_regionkey = 3),
+ids AS (SELECT *, row_number() OVER (ORDER BY depth, item_id) - 1 + first AS folder_id FROM tree, top)
+SELECT folder_id, parent_id, name, folder_type FROM folders
+UNION ALL SELECT CAST(i.folder_id AS BIGINT), CAST(coalesce(p.folder_id, 1) AS BIGINT), i.name, CASE WHEN i.depth = 0 THEN 'Disc' ELSE 'GeneralFolder' END FROM ids i LEFT JOIN ids p ON i.up = p.item_id""")
+def folder_from_physical(spark, d):
+    items = adapters.order_folders(spark, d).where(F.col("item_id") < CUSTOMER).withColumn("is_container", F.lit(True)).withColumn("depth", F.size("ancestors"))
+    made, _ = tags.add_physical_folder(adapters.region_folders(spark, d), adapters.customer_tags(spark, d), items, 3, 1, as_disc=True)
+    return made.select("folder_id", "parent_id", "name", "folder_type")
+
+
+# Rescans and sets --------------------------------------------------------------------------------------
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (5, 6)")
+def exclude_paths(spark, d):
+    folders = adapters.order_folders(spark, d)
+    paths = tree.paths(folders, "/").where((F.col("item_id") >= CUSTOMER))
+    files = adapters.order_files(spark, d).join(paths.select(F.col("item_id").alias("parent_id"), F.col("path_and_name").alias("path")), "parent_id")
+    gone = tree.paths(folders.where(F.col("item_id") < CUSTOMER), "/").where(F.col("item_id").isin([5 + NATION, 6 + NATION])).select(F.upper("path_and_name").alias("path"))
+    return rescan.exclude(files, gone).select("item_id")
+
+
+_OLD = "SELECT doc_id, source || '/' || CAST(n_chars AS VARCHAR) AS place, lang FROM documents WHERE doc_id % 3 <> 0"
+
+
+@register(f"""WITH old AS ({_OLD}), best AS (SELECT place, min(doc_id) AS doc_id FROM old GROUP BY place)
+SELECT n.doc_id AS item_id, b.doc_id AS old_item_id, o.lang AS keywords FROM documents n
+LEFT JOIN best b ON b.place = n.source || '/' || CAST(n.n_chars AS VARCHAR) LEFT JOIN old o ON o.doc_id = b.doc_id""")
+def rescan_carryover(spark, d):
+    rows = adapters.docs_catalog(spark, d).select("item_id", "kind", F.concat_ws("/", "source", F.col("length").cast("string")).alias("rel_path"), F.col("lang").alias("keywords"))
+    new, old = rows.withColumn("keywords", F.lit(None).cast("string")), rows.where("item_id % 3 <> 0")
+    return rescan.carry_over(new, old, columns=("keywords",)).select("item_id", "old_item_id", "keywords")
+
+
+@register(f"""WITH old AS ({_OLD}), best AS (SELECT place, min(doc_id) AS doc_id FROM old GROUP BY place)
+SELECT n.doc_id AS item_id, CAST(length(o.lang) + b.doc_id % 7 AS BIGINT) AS folder_id FROM documents n
+JOIN best b ON b.place = n.source || '/' || CAST(n.n_chars AS VARCHAR) JOIN old o ON o.doc_id = b.doc_id""")
+def rescan_tags(spark, d):
+    matched = rescan_carryover(spark, d)
+    bridge = adapters.docs_catalog(spark, d).select("item_id", (F.length("lang") + F.col("item_id") % 7).cast("bigint").alias("folder_id"))
+    return rescan.carried_tags(matched, bridge)
+
+
+@register("SELECT CAST(r_regionkey AS BIGINT) AS volume_id, r_name AS name FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 100, 'scanned again'")
+def replace_volume(spark, d):
+    items = adapters.order_folders(spark, d).where(F.col("item_id") < CUSTOMER)
+    volumes = items.where("kind = 'Volume'").select("volume_id", "name", F.lit("k").alias("keywords"), F.lit("shelf").alias("physical_location"))
+    old = {"items": items, "volumes": volumes, "item_tags": adapters.customer_tags(spark, d)}
+    root = spark.createDataFrame([(100, 100, None, "Volume", "scanned again", [])], "item_id bigint, volume_id bigint, parent_id bigint, kind string, name string, ancestors array<bigint>")
+    fresh = spark.createDataFrame([(100, "scanned again", "", None)], "volume_id bigint, name string, keywords string, physical_location string")
+    return rescan.replace_volume(old, {"items": root, "volumes": fresh}, 1)["volumes"].select("volume_id", "name")
+
+
+@register(f"SELECT o_orderkey + {ORDER} AS item_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1 AND n_nationkey <> 0")
+def remove_items(spark, d):
+    tables = {"items": adapters.orders_catalog(spark, d), "item_tags": adapters.customer_tags(spark, d)}
+    return setops.remove_items(tables, [1, NATION])["items"].where("kind = 'File'").select("item_id")
+
+
+@register("SELECT doc_id AS item_id FROM documents EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def remove_rows(spark, d):
+    rows = adapters.docs_catalog(spark, d).select("item_id")
+    return rows.exceptAll(rows.where("item_id % 10 = 0"))
+
+
+@register("""SELECT CAST(r_regionkey AS BIGINT) AS volume_id, r_name AS name FROM region
+UNION ALL SELECT CAST(r_regionkey AS BIGINT) + (SELECT max(r_regionkey) + 1 FROM region), r_name FROM region""")
+def merge_databases(spark, d):
+    volumes = adapters.order_folders(spark, d).where("kind = 'Volume'").select("volume_id", "name")
+    return setops.merge_databases({"volumes": volumes}, {"volumes": volumes})["volumes"]
+
+
+@register(f"""SELECT o_orderkey + {ORDER} AS item_id, o_custkey + {CUSTOMER} AS parent_id FROM orders
+UNION ALL SELECT o_orderkey + {ORDER} + (SELECT max(o_orderkey) + {ORDER} + 1 FROM orders), o_custkey + {CUSTOMER} + (SELECT max(o_orderkey) + {ORDER} + 1 FROM orders) FROM orders""")
+def merge_items(spark, d):
+    items = adapters.order_files(spark, d).select("item_id", "parent_id")
+    both = setops.merge_databases({"items": items}, {"items": items})
+    return both["items"]
+
+
+@register("SELECT p_partkey AS item_id, concat_ws(';', nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, ''), CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END) AS keywords FROM part")
+def merge_keywords(spark, d):
+    p = table(spark, d, "part")
+    a, b = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand")), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type"))
+    return p.select(F.col("p_partkey").alias("item_id"), scalars.joined(a, b).alias("keywords"))
+
+
+# Values ------------------------------------------------------------------------------------------------
+
+
+@register(f"""WITH {_TREE}, used AS (SELECT region, CAST(sum(length) AS BIGINT) AS used FROM leaf GROUP BY region)
+SELECT region AS folder_id, used, 2936012800 - used AS free_size, CAST(trunc(CAST(used AS FLOAT) / CAST(2936012800 AS FLOAT) * CAST(100 AS FLOAT)) AS INT) AS used_percent FROM used""")
+def capacity_usage(spark, d):
+    sizes = folder_sizes(spark, d).where(F.col("folder_id") < NATION).select("folder_id", F.col("size").alias("used"), F.lit(2936012800).cast("bigint").alias("maximum"))
+    return progress.capacity(sizes, "used", "maximum").select("folder_id", "used", "free_size", "used_percent")
+
+
+@register("""WITH s AS (SELECT * FROM (VALUES (0, 0), (1, 4707319808), (2, 4700372992), (3, 8543666176), (4, 8547991552), (5, 283500 * 2048), (6, 283500 * 2336), (7, 333000 * 2048),
+  (8, 333000 * 2336), (9, 360000 * 2048), (10, 360000 * 2336), (11, 405000 * 2048), (12, 405000 * 2336), (13, 445500 * 2048), (14, 445500 * 2336)) t(choice, bytes))
+SELECT p_partkey AS item_id, CASE WHEN p_partkey % 16 = 15 THEN CAST(p_size AS BIGINT) ELSE CAST(bytes AS BIGINT) END AS bytes FROM part LEFT JOIN s ON p_partkey % 16 = choice""")
+def capacity_choices(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("item_id"), scalars.selected_capacity((F.col("p_partkey") % 16).cast("int"), F.col("p_size").cast("string")).alias("bytes"))
+
+
+_FLAGS = "c_custkey % 2 = 0 AS a, c_custkey % 3 = 0 AS b, c_custkey % 5 = 0 AS c"
+
+
+@register(f"SELECT c_custkey AS volume_id, coalesce(nullif(concat_ws(', ', CASE WHEN a THEN 'CRC' END, CASE WHEN b THEN 'File versions' END, CASE WHEN c THEN 'Browsed compressed files' END), ''), '(none)') AS options FROM (SELECT c_custkey, {_FLAGS} FROM customer)")
+def options_text(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("volume_id"), scalars.options_text(k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("options"))
+
+
+@register("""SELECT event_id, make_timestamp(1980 + y, mo, dd, h, mi, CAST(s * 2 AS DOUBLE)) AS time FROM (
+  SELECT event_id, event_id % 100 AS y, event_id % 12 + 1 AS mo, event_id % 28 + 1 AS dd, event_id % 24 AS h, event_id % 60 AS mi, event_id % 30 AS s FROM events)""")
+def dos_time(spark, d):
+    e = F.col("event_id")
+    hi = (e % 100) * 512 + (e % 12 + 1) * 32 + (e % 28 + 1)
+    lo = (e % 24) * 2048 + (e % 60) * 32 + (e % 30)
+    return table(spark, d, "events").select("event_id", scalars.dos_time(hi * 65536 + lo).alias("time"))
+
+
+@register("SELECT event_id, (event_id % 7) * 4294967296 + user_id AS size FROM events")
+def wide_sizes(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.wide_size(F.col("event_id") % 7, F.col("user_id")).alias("size"))
+
+
+@register("SELECT p_partkey AS item_id, concat_ws(', ', CASE WHEN p_size & 1 = 1 THEN 'ReadOnly' END, CASE WHEN p_size & 2 = 2 THEN 'Hidden' END, CASE WHEN p_size & 4 = 4 THEN 'System' END, CASE WHEN p_size & 16 = 16 THEN 'Directory' END, CASE WHEN p_size & 32 = 32 THEN 'Archive' END) AS attributes, p_size & 2 <> 2 AND NOT p_name GLOB '*.gz' AS compressible FROM part")
+def attributes(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), scalars.attributes_text(size).alias("attributes"), scalars.is_compressible(size, scalars.extension(F.col("p_name"))).alias("compressible"))
+
+
+@register("SELECT p_partkey AS item_id, CASE WHEN p_size % 5 = 0 OR p_partkey = 0 THEN '' ELSE upper(to_hex(p_partkey * p_size)) END AS crc, lpad(upper(to_hex(p_partkey)), 8, '0')[1:4] || '-' || lpad(upper(to_hex(p_partkey)), 8, '0')[5:8] AS serial FROM part")
+def crc_hex(spark, d):
+    key = F.col("p_partkey")
+    crc = F.when(F.col("p_size") % 5 == 0, F.lit(0)).otherwise(key * F.col("p_size"))
+    return table(spark, d, "part").select(key.alias("item_id"), scalars.crc_text(crc).alias("crc"), scalars.serial_text(key).alias("serial"))
+
+
+@register("SELECT page_id, regexp_extract(url, '(\\.[^.]*)$', 1) AS extension, left(url, greatest(length(url) - length(string_split(url, '/')[-1]) - 1, 0)) AS parent, right(url, 3) AS ending, substr(url, 4) AS rest FROM pages")
+def url_parts(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", scalars.extension(url).alias("extension"), scalars.parent_directory(url).alias("parent"), scalars.right(url, 3).alias("ending"), scalars.drop_drive(url).alias("rest"))
+
+
+@register("SELECT p_partkey AS item_id, left(p_name, 2) AS a, right(p_name, 2) AS b, substr(p_name, 2, 3) AS c, substr(p_name, 3) AS e, lower(p_name) AS f FROM part")
+def text_parts(spark, d):
+    n = F.col("p_name")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), scalars.left(n, 2).alias("a"), scalars.right(n, 2).alias("b"), scalars.mid(n, 1, 3).alias("c"), scalars.mid(n, 2).alias("e"), F.lower(n).alias("f"))
+
+
+@register("SELECT o_orderkey AS item_id, format('{:,}', CAST(ceil(n / 1024.0) AS BIGINT)) || ' KB' AS kb, format('{:,}', n) || ' B' AS bytes, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS time FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS n FROM orders)")
+def size_and_date_texts(spark, d):
+    n = F.round("o_totalprice").cast("bigint")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), scalars.size_kb(n).alias("kb"), scalars.size_bytes(n).alias("bytes"), scalars.short_time(F.col("o_orderdate")).alias("time"))
+
+
+@register("SELECT event_id, CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS elapsed FROM (SELECT event_id, event_id * 61 AS s FROM events)")
+def duration_text(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.duration(F.col("event_id") * 61).alias("elapsed"))
+
+
+@register("""SELECT event_id, count(*) OVER w AS running_count, CAST(sum(v) OVER w AS BIGINT) AS running_size, least(100, (count(*) OVER w) * 100 // (count(*) OVER (PARTITION BY event_type))) AS percent
+FROM (SELECT event_id, event_type, CAST(round(value) AS BIGINT) AS v FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def progress_running(spark, d):
+    files = table(spark, d, "events").select("event_id", "event_type", F.round("value").cast("bigint").alias("length"))
+    return progress.running(files, "event_id", "event_type").select("event_id", "running_count", "running_size", "percent")
+
+
+@register("SELECT p_partkey AS item_id, CASE WHEN p_size % 10 = 0 THEN 0.0 ELSE p_partkey / CAST(p_size % 10 AS DOUBLE) * 100.0 END AS percent FROM part")
+def archive_percent(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), scalars.done_percent(F.col("p_partkey"), (F.col("p_size") % 10).cast("bigint")).alias("percent"))
+
+
+# Display, order, export --------------------------------------------------------------------------------
+
+
+@register(f"""SELECT o_orderkey + {ORDER} AS item_id, 'order' || CAST(o_orderkey AS VARCHAR) AS name, format('{{:,}}', CAST(ceil(CAST(round(o_totalprice) AS BIGINT) / 1024.0) AS BIGINT)) || ' KB' AS size,
+strftime(o_orderdate, '%Y-%m-%d %H:%M') AS creation_time, o_orderpriority AS keywords, r_name AS volume, '' AS crc
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, '', NULL, NULL, r_name, '' FROM region
+UNION ALL SELECT n_nationkey + {NATION}, n_name, '', NULL, NULL, r_name, '' FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT c_custkey + {CUSTOMER}, c_name, '', NULL, NULL, r_name, '' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def display_grid(spark, d):
+    from shelfmark.schema import ITEMS, conform
+
+    items = conform(adapters.orders_catalog(spark, d), ITEMS)
+    volumes = items.where("kind = 'Volume'").select("volume_id", "name")
+    return display.grid(items, volumes).select("item_id", "name", "size", "creation_time", "keywords", "volume", "crc")
+
+
+@register(f"""SELECT o_orderkey + {ORDER} AS item_id, 'order' || CAST(o_orderkey AS VARCHAR) AS name, r_name AS volume, o_orderpriority AS keywords, n_name AS folders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def item_sheets(spark, d):
+    from shelfmark.schema import ITEMS, conform
+
+    items = conform(adapters.orders_catalog(spark, d), ITEMS)
+    volumes = items.where("kind = 'Volume'").select("volume_id", "name")
+    sheet = display.item_sheet(items.where("kind = 'File'"), volumes, adapters.customer_tags(spark, d), adapters.region_folders(spark, d))
+    return sheet.select("item_id", "name", "volume", "keywords", "folders")
+
+
+@register("SELECT c_custkey AS volume_id, CASE WHEN c_custkey % 4 = 0 THEN '(no label)' ELSE c_name END AS label, CASE WHEN c_custkey % 3 = 0 THEN '(no drive)' ELSE c_mktsegment END AS drive FROM customer")
+def volume_sheets(spark, d):
+    k, n = F.col("c_custkey"), F.lit(0).cast("bigint")
+    v = table(spark, d, "customer").select(k.alias("volume_id"), F.col("c_name").alias("name"), F.when(k % 4 != 0, F.col("c_name")).alias("volume_label"), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("from_drive"), n.alias("total_size"), n.alias("total_free_space"), F.lit(True).alias("scanned_crc"), F.lit(True).alias("scanned_file_version"), F.lit(True).alias("scanned_zip"))
+    return display.volume_sheet(v).select("volume_id", "label", "drive")
+
+
+@register("SELECT p_partkey AS item_id, p_name || ',' || CAST(p_size AS VARCHAR) || ',\"' || p_type || ', \"\"' || p_brand || '\"\"\"' AS line FROM part")
+def csv_lines(spark, d):
+    rows = adapters.parts_catalog(spark, d).select("item_id", "name", "length", F.concat(F.element_at(F.split("keywords", ";"), 2), F.lit(', "'), F.element_at(F.split("keywords", ";"), 1), F.lit('"')).alias("note"))
+    return sinks.csv_lines(rows, ["name", "length", "note"]).select("item_id", "line")
+
+
+@register("SELECT doc_id AS item_id, n_chars AS length FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
+def page_results(spark, d):
+    rows = adapters.docs_catalog(spark, d).select("item_id", "length")
+    return search.sort_by(rows, "length", ascending=False).offset(40).limit(20)
+
+
+@register("SELECT r_name AS name FROM region ORDER BY r_name LIMIT 3 OFFSET 1")
+def page_volumes(spark, d):
+    return search.page(table(spark, d, "region").select(F.col("r_name").alias("name")), ["name"], 1, 3)
+
+
+# Streams and files have no SQL -------------------------------------------------------------------------
+
+
+@register("SELECT event_type, count(*) AS file_count, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS file_size FROM events GROUP BY event_type")
+def stream_totals(spark, d):
+    """Totals of events that arrive as a file stream, after all have come."""
+    import uuid
+
+    from shelfmark.streaming.stream import running_totals
+
+    schema = table(spark, d, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    name = f"totals_{uuid.uuid4().hex}"
+    rows = files.select("event_type", F.round("value").cast("bigint").alias("length"))
+    query = running_totals(rows, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
