@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+_KINDS = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP_NTZ": T.TimestampNTZType(), "ARRAY<BIGINT>": T.ArrayType(T.LongType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Columns as "name KIND, ...", without the session that a DDL parser needs."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in spec.split(","))])
 
 
 #: One row per volume, folder and file. ancestors lists the ids from the root to the parent.
