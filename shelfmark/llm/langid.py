@@ -38,8 +38,9 @@ def fold_table() -> np.ndarray:
         fold = np.full(0x110000, 32, np.uint32)
         for c in range(0x20000):
             ch = chr(c)
-            if ch.isalpha() and len(low := ch.lower()) == 1:
-                fold[c] = ord(low)
+            if ch.isalpha():
+                low = ch.lower()
+                fold[c] = ord(low) if len(low) == 1 else c
         fold[0x20000:0x32000] = [c if unicodedata.category(chr(c)) == "Lo" else 32 for c in range(0x20000, 0x32000)]
         _WORKER["fold"] = fold
     return _WORKER["fold"]

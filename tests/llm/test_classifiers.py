@@ -75,6 +75,10 @@ def test_languages(spark, docs, empty):
     assert {x.lang_pred for x in langid.predict(frame, langid.fit(frame.limit(0))).collect()} == {"und"}
 
 
+def test_letters_of_all_scripts_count():
+    assert all(len(langid.folded(t)) > 2 for t in ("İ", "ß", "字", "𝔘", "я", "ª")) and all(len(langid.folded(t)) <= 2 for t in ("", " ", "12 $", "…!", "\n"))
+
+
 def test_sums_equal_counts():
     rng = np.random.default_rng(1)
     w = rng.random((2**langid.BITS, 2)).astype(np.float32)
