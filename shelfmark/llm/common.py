@@ -13,7 +13,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_ROWS = 200_000
 
 
+#: Bytes of a batch that Spark hands to Python: long texts come in batches of fewer rows.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

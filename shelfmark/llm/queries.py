@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language": langid.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality.oracle_sql(), "op7_url_lists": url_lists.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.SQL, "op3_quality": quality.oracle_sql(), "op7_url_lists": url_lists.SQL}

@@ -288,9 +288,10 @@ def survivors(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILA
     dealt = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "fp")
     known = rooted(classes, components(links(dealt, near_radius(similarity))))
     chosen = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.tag").alias("_keep_tag"))
-    keyed = docs.withColumns({"_near_id": F.coalesce(F.col(doc_id).cast("long"), last), "_near_tag": F.xxhash64(text)})
-    kept = keyed.join(chosen, (F.col("_near_id") == F.col("_keep_id")) & (F.col("_near_tag") == F.col("_keep_tag")), "left_semi")
-    return kept.dropDuplicates(["_near_id", "_near_tag"]).drop("_near_id", "_near_tag")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # one column, so that no name can clash
+    keyed = docs.select(whole.alias("row"), F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.xxhash64(text).alias("tag"))
+    kept = keyed.join(chosen, (F.col("id") == F.col("_keep_id")) & (F.col("tag") == F.col("_keep_tag")), "left_semi")
+    return kept.dropDuplicates(["id", "tag"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,14 @@ from shelfmark.llm.common import staged, table
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
-#: Text bytes, as UTF-8, for each shard of anchors and cuttings.
-SHARD_BYTES = 4_000_000
+#: Text bytes, as UTF-8, for each shard of anchors.
+SHARD_BYTES = 1_500_000
+#: The same for each shard of cuttings, each of which is sorted as one string.
+CUTTING_BYTES = 400_000
 #: Text bytes that a task works on at once.
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 8_000_000
 #: Text bytes that are hashed at once; longer documents are cut at its multiples.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: The id that a null doc_id counts as.
 LAST = 2**63 - 1
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in (1, 2, 4, 8, 16)]
@@ -274,20 +276,10 @@ def cut_out(shards: int):
             h, first, count, digest, doc = g.segments()
             keep = np.isin(first, places)
             h, first, count, digest, doc = h[keep], first[keep], count[keep], digest[keep], doc[keep]
-            # Equal cuttings have equal anchors, lengths and sums; the bytes decide.
-            order = np.lexsort((g.ids[doc], digest, count, h))
-            h, first, count, doc, digest = h[order], first[order], count[order], doc[order], digest[order]
             out = [], [], [], []
             if len(h):
-                maybe = (h[1:] == h[:-1]) & (count[1:] == count[:-1]) & (digest[1:] == digest[:-1])
-                text = g.text
-                same = maybe.copy()
-                at = np.flatnonzero(maybe)
-                same[at] = equal_bytes(text, first[at], first[at + 1], count[at] + WINDOW - 1)
-                head = np.concatenate(([True], ~same))
-                starts = np.flatnonzero(head)
-                smallest = g.ids[doc[starts]][np.cumsum(head) - 1]
-                covered = ~head & (g.ids[doc] > smallest)
+                order, covered = repeats(g.text, first, count, (digest, count, h), g.ids[doc])
+                h, first, count, doc, text = h[order], first[order], count[order], doc[order], g.text
                 for d, f, n in by_document(doc[covered], first[covered], count[covered]):
                     f = f - g.start[d]
                     add(out, -1, int(g.ids[d]), int(g.tags[d]), packed(*merged(f, f + n + WINDOW - 1)))
@@ -310,6 +302,19 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
+def repeats(text: np.ndarray, first: np.ndarray, count: np.ndarray, keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal cuttings together, and which of them repeat one of a document with a smaller id.
+
+    Equal cuttings have equal keys; the bytes decide.
+    """
+    order = np.lexsort((ids, *keys))
+    at = np.flatnonzero(np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys]))
+    same = np.zeros(len(order), bool)
+    same[at + 1] = equal_bytes(text, first[order[at]], first[order[at + 1]], count[order[at]] + WINDOW - 1)
+    ids, starts = ids[order], np.flatnonzero(~same)
+    return order, same & (ids > ids[starts][np.cumsum(~same) - 1])
+
+
 def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, lot: int = 50_000) -> np.ndarray:
     out = np.zeros(len(a), bool)
     for i in range(0, len(a), lot):
@@ -367,25 +372,29 @@ def two_stage(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     rises = np.concatenate((body[change] < body[change + 1], [False]))
     smaller = np.repeat(rises, np.diff(np.concatenate(([-1], run_end))))
     # Each wanted place needs its successors up to the first that is sorted directly.
-    place = np.where(smaller, np.arange(n), n)
+    place = np.where(smaller, np.arange(n, dtype=np.int32), np.int32(n))
     next_direct = np.minimum.accumulate(place[::-1])[::-1]
     need = np.zeros(n, bool)
     need[: len(text)] = wanted
     at = np.flatnonzero(need)
     ends = next_direct[at]
-    steps = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(ends + 1, n), minlength=n + 1)
+    steps = np.zeros(n + 1, np.int32)
+    steps[at] = 1
+    np.add.at(steps, np.minimum(ends + 1, n), -1)
     need |= np.cumsum(steps)[:n] > 0
-    direct = np.flatnonzero(need & smaller)
+    del place, next_direct, steps
+    direct = np.flatnonzero(need & smaller).astype(np.int32)
     word = words_at(t)
     keys = [word[direct + 8 * k].astype(np.uint64) for k in range(WINDOW // 8)]
     keys.append(word[direct + 8 * (WINDOW // 8)].astype(np.uint64) >> np.uint64(8 * (8 - WINDOW % 8)))
     direct = direct[np.lexsort(keys[::-1])]
-    induced = np.flatnonzero(need & ~smaller)
+    del keys
+    induced = np.flatnonzero(need & ~smaller).astype(np.int32)
     first = body[induced]
     by_bucket = induced[np.argsort(first, kind="stable")]
     cut_l = np.searchsorted(np.sort(first), np.arange(257))
     cut_s = np.searchsorted(body[direct], np.arange(257))
-    rank, order, filled = np.full(n + 1, -1, np.int64), np.empty(len(direct) + len(induced), np.int64), 0
+    rank, order, filled = np.full(n + 1, -1, np.int32), np.empty(len(direct) + len(induced), np.int32), 0
     for c in range(256):
         todo = by_bucket[cut_l[c] : cut_l[c + 1]]
         while len(todo):
@@ -431,21 +440,31 @@ def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
         ids, tags = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[5][p[2]] for p in parts])
         begin = np.concatenate([p[3] for p in parts]).astype(np.int64)
+        del parts
         size = count + WINDOW - 1
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        wanted = np.zeros(len(text) + 1, np.int64)
+        start = np.cumsum(size) - size
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(gram_hashes(text) * _MIX, dtype=np.uint64)))
+        order, covered = repeats(text, start, count, (total[start + count + SPAN - 1] - total[start], count), ids)
+        del total
+        gone, on = order[covered], order[~covered]
+        found = [(ids[gone], tags[gone], begin[gone], begin[gone] + size[gone])]
+        text, ids, tags, begin, count, size = text[spread(start[on], size[on])], ids[on], tags[on], begin[on], count[on], size[on]
+        start = np.cumsum(size) - size
+        wanted = np.zeros(len(text) + 1, np.int32)
         np.add.at(wanted, start, 1)
         np.add.at(wanted, start + count, -1)
-        wanted = np.cumsum(wanted)[:-1] > 0
-        order, padded = two_stage(text, wanted)
-        cutting = np.repeat(np.arange(len(size)), size)[order]
+        order, padded = two_stage(text, np.cumsum(wanted)[:-1] > 0)
+        cutting = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
         head = np.concatenate(([True], ~reaches(padded, order)))
         smallest = np.minimum.reduceat(ids[cutting], np.flatnonzero(head))[np.cumsum(head) - 1]
         hit = ids[cutting] > smallest
-        cutting, where = cutting[hit], (begin[cutting] + order - start[cutting])[hit]
-        _, who = np.unique(np.stack((ids[cutting], tags[cutting])), axis=1, return_inverse=True) if len(cutting) else (None, np.zeros(0, int))
-        for _, c, w in by_document(who.ravel(), cutting, where):
-            add(out, -1, int(ids[c[0]]), int(tags[c[0]]), packed(*merged(w, w + WINDOW)))
+        cutting = cutting[hit]
+        where = begin[cutting] + order[hit] - start[cutting]
+        found.append((ids[cutting], tags[cutting], where, where + WINDOW))
+        ids, tags, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, who = np.unique(np.stack((ids, tags)), axis=1, return_inverse=True) if len(ids) else (None, np.zeros(0, int))
+        for _, i, t, x, y in by_document(who.ravel(), ids, tags, a, b):
+            add(out, -1, int(i[0]), int(t[0]), packed(*merged(x, y)))
         yield frame(out)
 
 
@@ -466,21 +485,22 @@ def covered_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """doc_id (null as LAST), tag (a hash of the text), blobs: the packed spans to remove, of documents that have some."""
     spark = docs.sparkSession
     rows = texts(docs, doc_id, text).where(F.length("data") >= WINDOW)
-    shards = max(16, -(-(rows.agg(F.sum(F.length("data"))).first()[0] or 0) // SHARD_BYTES))
-    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4))
+    size = rows.agg(F.sum(F.length("data"))).first()[0] or 0
+    shards, lots = max(16, -(-size // SHARD_BYTES)), max(16, -(-size // CUTTING_BYTES))
 
-    def by_shard(found: DataFrame) -> DataFrame:
+    def by_shard(found: DataFrame, shards: int) -> DataFrame:
+        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8))
         # What is known already (shard -1) is dealt out by document.
         key = F.when(F.col("shard") < 0, F.xxhash64("doc_id", "tag")).otherwise(F.xxhash64("shard"))
         return found.repartition(tasks, key).sortWithinPartitions("shard")
 
-    anchors = by_shard(rows.mapInArrow(first_pass(shards), ROWS))
+    anchors = by_shard(rows.mapInArrow(first_pass(shards), ROWS), shards)
     places = staged(anchors.mapInArrow(find_twins, ROWS).select("doc_id", "tag", "blob"), "places")
     del anchors
     free(spark)
     known = places.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list("blob").alias("blobs"))
-    cuttings = rows.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t"))).select("doc_id", "tag", "data", "blobs").mapInArrow(cut_out(shards), ROWS)
-    spans = staged(by_shard(cuttings).mapInArrow(cover, ROWS).select("doc_id", "tag", "blob"), "spans")
+    cuttings = rows.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t"))).select("doc_id", "tag", "data", "blobs").mapInArrow(cut_out(lots), ROWS)
+    spans = staged(by_shard(cuttings, lots).mapInArrow(cover, ROWS).select("doc_id", "tag", "blob"), "spans")
     del cuttings, known
     free(spark)
     return spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list("blob").alias("blobs"))
@@ -527,24 +547,43 @@ def whole_characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with the repeated passages removed from the text (in whole characters)."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_tag": F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))})
-    rows = keyed.join(covered_spans(docs, doc_id, text), (F.col("_id") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left").select(*cols, F.col("blobs").alias("_blobs"))
-
     names = docs.columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))  # one column, so that no name can clash
+    keyed = docs.select(whole.alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("tag"))
+    rows = keyed.join(covered_spans(docs, doc_id, text), (F.col("id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("row", "blobs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = []
-            for t, blobs in zip(batch.column(text).to_pylist(), batch.column("_blobs").to_pylist(), strict=True):
+            row, bodies = dict(zip(names, batch.column("row").flatten(), strict=True)), []
+            for t, blobs in zip(row[text].to_pylist(), batch.column("blobs").to_pylist(), strict=True):
                 if t is not None and blobs:
                     data = t.encode()
                     t = without(data, *whole_characters(data, *union_of(blobs))).decode()
                 bodies.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if c == text else batch.column(c) for c in names], names)
+            row[text] = pa.array(bodies, pa.string())
+            yield pa.RecordBatch.from_arrays(list(row.values()), names)
 
     return rows.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: The contract said directly: every 50-byte string of every document, and the least document that holds it.
+SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {LAST}) AS doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS MATERIALIZED (SELECT r, doc_id, b, octet_length(b)::BIGINT AS n FROM texts),
+windows AS MATERIALIZED (SELECT r, doc_id, p, b[p + 1:p + {WINDOW}] AS s FROM (SELECT r, doc_id, b, unnest(range(0, n - {WINDOW - 1})) AS p FROM sized WHERE n >= {WINDOW})),
+least_doc AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT r, p FROM windows JOIN least_doc USING (s) WHERE first < doc_id),
+marked AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {WINDOW}, true) AS new FROM hits),
+runs AS (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM marked),
+spans AS MATERIALIZED (SELECT r, k, min(p) AS a, max(p) + {WINDOW} AS e FROM runs GROUP BY r, k),
+totals AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+edges AS (SELECT r, 0 AS a, 0 AS e FROM sized UNION ALL SELECT r, a, e FROM spans),
+kept AS (SELECT r, e AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY e, a), n) AS z, b FROM edges JOIN sized USING (r)),
+bodies AS (SELECT r, string_agg(CASE WHEN z > a THEN hex(b[a + 1:z]) ELSE '' END, '' ORDER BY a, z) AS body FROM kept GROUP BY r)
+SELECT nullif(doc_id, {LAST}) AS doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(body)) AS kept_sha256
+FROM sized JOIN bodies USING (r) LEFT JOIN totals USING (r)
+"""

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, class string, shard string, fp string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, class string, shard string, fp string, blobs string, _id long, _d int, tag string, id int, row string"
 
 
 def odd_texts():
@@ -18,8 +18,8 @@ def odd_texts():
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    rows = [(i, t, "en" if i % 2 else None, "s", len(t or ""), "k", 1, "c", "z", "f") for i, t in enumerate(odd_texts())]
-    rows += [rows[13], (None, "null id text of some words", None, None, None, None, None, None, None, None)]
+    rows = [(i, t, "en" if i % 2 else None, "s", len(t or ""), "k", 1, "c", "z", "f", "b", 7, 8, "t", 9, "r") for i, t in enumerate(odd_texts())]
+    rows += [rows[13], (None, "null id text of some words", *[None] * 14)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
