@@ -14,7 +14,9 @@ without rows give none. Other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,11 @@ from shelfmark.llm.common import gapless, staged, table
 MODEL, END_ID, CAPACITY, UNIT = "word_bpe_49k.json", 2, 4096, 16
 CLASSES = CAPACITY // UNIT
 #: Words that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 600_000
 #: Characters that are looked up at once.
 CHARS = 1_000_000
-_MARKS = frozenset(".,;:!?")
+#: A word of Latin letters whose small forms are single characters, and a mark behind it at most.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _WORKER: dict[str, Ids] = {}
 
 
@@ -40,12 +43,20 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: itself if it is visible, else the next from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Ids(dict):
     """Ids (as little-endian 32-bit bytes) by chunk between blanks.
 
-    White space parts pre-tokens in this model, so a text's ids are those of its chunks. An ASCII
-    word with a mark behind it is two pre-tokens, and letter case is dropped: most chunks that are
-    missing are found again by their lower-case word.
+    White space parts pre-tokens in this model, so a text's ids are those of its chunks. A word of
+    Latin letters is one pre-token, a mark behind it is another, and letter case is dropped: such
+    words go to the model itself, in its own byte letters, and are kept by their small form.
+    Everything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,33 +64,44 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.words = Tokenizer.from_file(path).encode_batch_fast, {}
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model, self.letters, self.words = whole.encode_batch_fast, whole.model.tokenize, byte_letters(), {}
 
-    @staticmethod
-    def parts(chunk: str) -> list[str]:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        return [chunk]
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            body = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            found = array("I", [t.id for t in self.model(body)]).tobytes()
+            self.words[word] = found
+        return found
 
     def learn(self, chunks: set[str]) -> None:
         missing = chunks.difference(self.keys())
         if len(self) + len(missing) > CACHE:
             self.clear()
             missing = chunks
-        split = {c: self.parts(c) for c in missing}
         if len(self.words) > CACHE:
             self.words.clear()
-        new = list({p for ps in split.values() for p in ps}.difference(self.words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        words = self.words
-        for c, ps in split.items():
-            self[c] = words[ps[0]] if len(ps) == 1 else b"".join(map(words.__getitem__, ps))
+        match, word, rest = _WORD.fullmatch, self.word, []
+        for c in missing:
+            m = match(c)
+            if not m:
+                rest.append(c)
+            elif m[2]:
+                self[c] = word(m[1].lower()) + word(m[2])
+            else:
+                self[c] = word(c.lower())
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for c, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
+                self[c] = array("I", e.ids).tobytes()
+
+
+def ids_for(path: str) -> Ids:
+    """This worker's own, which stay from task to task."""
+    if path not in _WORKER:
+        _WORKER[path] = Ids(path)
+    return _WORKER[path]
 
 
 def ids_of(texts: list[str | None], ids: Ids) -> Iterator[bytes]:
@@ -102,7 +124,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WORKER.get(path) or _WORKER.setdefault(path, Ids(path))
+        ids = ids_for(path)
         for batch in batches:
             who, rows = batch.column(0), ([], [], [], [], [])
             for k, data in enumerate(ids_of(batch.column(1).to_pylist(), ids)):
