@@ -93,7 +93,14 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text", top: int = TOP) ->
     return [r.unit for r in hits.orderBy(F.desc("n"), "unit").limit(top).collect()]
 
 
-_WORKER: dict[tuple, Lengths] = {}
+_WORKER: dict[str, Lengths] = {}
+
+
+def lengths_for(path: str, frequent: dict[str, int]) -> Lengths:
+    """This worker's own, which stay from task to task; tier one may change between runs, what is cached stays right."""
+    if path not in _WORKER:
+        _WORKER[path] = Lengths(path, frequent)
+    return _WORKER[path]
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -105,11 +112,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     shared = spark.sparkContext.broadcast(tier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, id(shared.value))
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Lengths(path, shared.value)
-        lengths = _WORKER[key]
+        lengths = lengths_for(path, shared.value)
         for batch in batches:
             sizes, counts = [], []
             for t in batch.column(1):
