@@ -43,6 +43,9 @@ CUTTING_BYTES = 400_000
 GROUP_BYTES = 8_000_000
 #: Text bytes that are hashed at once; longer documents are cut at its multiples.
 BLOCK_BYTES = 500_000
+#: Text bytes of the documents whose mail lies in one box; numbers that a task gathers before it sends them.
+BOX_BYTES, MAIL = 8_000_000, 2_000_000
+NOTHING = np.zeros(0, np.int32)
 #: The id that a null doc_id counts as.
 LAST = 2**63 - 1
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in (1, 2, 4, 8, 16)]
@@ -163,10 +166,11 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def first_pass(shards: int):
-    """Texts to anchors. Rows: shard, doc_id, tag, blob. shard -1: places known to repeat; else numbers that look for twins."""
+def first_pass(shards: int, boxes: int):
+    """Texts to anchors. Rows: shard, blob. Below 0: mail with places known to repeat; else numbers that look for twins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = Mail(boxes)
         for g in groups(batches):
             h, first, _, _, doc = g.segments()
             order = np.argsort(h, kind="stable")
@@ -176,11 +180,10 @@ def first_pass(shards: int):
             run_of = np.cumsum(new) - 1
             least, most = (np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)) if len(h) else (doc, doc)
             known = (least != most)[run_of] if len(h) else new
-            rows = [], [], [], []
             own = first - g.start[doc]
-            for d, places in by_document(doc[known], own[known]):
-                add(rows, -1, int(g.ids[d]), int(g.tags[d]), packed(places.astype(np.int32)))
+            mail.put(g.ids[doc[known]], g.tags[doc[known]], own[known])
             # Of each anchor the task sends one entry: the first place if one document has it, else only its hash.
+            rows = [], []
             h1, doc1, own1, known1 = h[starts], doc[starts], own[starts], known[starts]
             # A document may hold an anchor in several places: all of them follow their first one.
             more = ~new & ~known
@@ -193,20 +196,62 @@ def first_pass(shards: int):
                 c, d = extra_cuts[s], extra_cuts[s + 1]
                 used, local = np.unique(doc1[a:b], return_inverse=True)
                 step = np.diff(h1[a:b], prepend=np.uint64(0))
-                add(rows, s, 0, 0, packed(step, local.astype(np.uint16 if len(used) < 65_536 else np.uint32), np.where(known1[a:b], -1, own1[a:b]).astype(np.int32), g.ids[used], g.tags[used], (extra[0][c:d] - a).astype(np.int32), extra[1][c:d].astype(np.int32)))
+                add(rows, s, packed(step, local.astype(np.uint16 if len(used) < 65_536 else np.uint32), np.where(known1[a:b], -1, own1[a:b]).astype(np.int32), g.ids[used], g.tags[used], (extra[0][c:d] - a).astype(np.int32), extra[1][c:d].astype(np.int32)))
             yield frame(rows)
+            yield from mail.sent(MAIL)
+        yield from mail.sent(0)
 
     return run
 
 
-def by_document(doc: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
-        yield (int(doc[a]), *(v[order[a:b]] for v in values))
+def box_of(ids: np.ndarray, tags: np.ndarray, boxes: int) -> np.ndarray:
+    """The box that a document's mail goes to: the same as box() says in Spark."""
+    return np.mod(ids ^ tags, boxes)
+
+
+def box(boxes: int):
+    return F.pmod(F.col("tag").bitwiseXOR(F.col("doc_id")), F.lit(boxes).cast("long"))
+
+
+class Mail:
+    """Numbers for documents (ids, tags, and one or two numbers each), gathered and sent as one blob for each box."""
+
+    def __init__(self, boxes: int):
+        self.boxes, self.lots, self.size = boxes, [], 0
+
+    def put(self, *arrays: np.ndarray) -> None:
+        if len(arrays[0]):
+            self.lots.append(arrays)
+            self.size += len(arrays[0])
+
+    def sent(self, over: int) -> Iterator[pa.RecordBatch]:
+        """What has been gathered, if that is more than over."""
+        if self.size <= over:
+            return
+        ids, tags, *values = (np.concatenate(x) for x in zip(*self.lots, strict=True))
+        self.lots, self.size = [], 0
+        where = box_of(ids, tags, self.boxes)
+        order = np.lexsort((values[0], tags, ids, where))
+        ids, tags, where, rows = ids[order], tags[order], where[order], ([], [])
+        heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))))
+        ends = np.concatenate((heads[1:], [len(ids)]))
+        values = [v[order].astype(np.int32) for v in values]
+        cuts = np.flatnonzero(np.concatenate(([True], where[heads][1:] != where[heads][:-1])))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(heads)], strict=True):
+            at, to = heads[a], ends[b - 1]
+            add(rows, -1 - int(where[at]), packed(ids[heads[a:b]], tags[heads[a:b]], (ends[a:b] - heads[a:b]).astype(np.int32), *(v[at:to] for v in values)))
+        yield frame(rows)
+
+
+def opened(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """A box's mail by (doc_id, tag)."""
+    out: dict[tuple[int, int], list] = {}
+    for blob in blobs:
+        ids, tags, counts, *values = unpacked(blob)
+        ends = np.cumsum(counts)
+        for i, t, a, b in zip(ids.tolist(), tags.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+            out.setdefault((i, t), []).append([v[a:b] for v in values])
+    return {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in out.items()}
 
 
 def add(rows: tuple[list, ...], *values) -> None:
@@ -215,74 +260,79 @@ def add(rows: tuple[list, ...], *values) -> None:
 
 
 def frame(rows: tuple[list, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())], ["shard", "doc_id", "tag", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["shard", "blob"])
 
 
-ROWS = "shard long, doc_id long, tag long, blob binary"
+ROWS = "shard long, blob binary"
 
 
-def runs_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """Rows sorted by shard as (shard, [(doc_id, tag, blob)]); rows of shard -1 come in small lots."""
-    at, rows = None, []
+def runs_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Rows sorted by shard as (shard, blobs); mail comes blob by blob."""
+    at, blobs = None, []
     for batch in batches:
-        for s, d, t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if s != at or (s < 0 and len(rows) >= 1000):
-                if rows:
-                    yield at, rows
-                at, rows = s, []
-            rows.append((d, t, b))
-    if rows:
-        yield at, rows
-
-
-def find_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of a shard to the places whose anchor occurs in two documents or more."""
-    for s, rows in runs_of_shards(batches):
-        out = [], [], [], []
-        if s < 0:
-            for d, t, b in rows:
-                add(out, -1, d, t, b)
-            yield frame(out)
-            continue
-        parts = [unpacked(b) for _, _, b in rows]
-        h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        place = np.concatenate([p[2] for p in parts])
-        local = [p[1].astype(np.int64) for p in parts]
-        ids, tags = np.concatenate([p[3][k] for p, k in zip(parts, local, strict=True)]), np.concatenate([p[4][k] for p, k in zip(parts, local, strict=True)])
-        base = np.cumsum([0, *(len(p[0]) for p in parts)])
-        extra_of, extra_at = np.concatenate([p[5] + base[i] for i, p in enumerate(parts)]), np.concatenate([p[6] for p in parts])
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        starts, run_of = np.flatnonzero(new), np.empty(len(h), np.int64)
-        run_of[order] = np.cumsum(new) - 1
-        one = (ids * np.int64(0x9E3779B97F4A7C1) ^ tags)[order]
-        least, most = np.minimum.reduceat(one, starts), np.maximum.reduceat(one, starts)
-        some_known = np.maximum.reduceat((place < 0)[order].view(np.int8), starts) > 0
-        repeats = ((least != most) | some_known)[run_of]
-        mine = repeats & (place >= 0)
-        more = repeats[extra_of] & (place[extra_of] >= 0)
-        ids, tags, place = np.concatenate((ids[mine], ids[extra_of[more]])), np.concatenate((tags[mine], tags[extra_of[more]])), np.concatenate((place[mine], extra_at[more]))
-        _, who = np.unique(np.stack((ids, tags)), axis=1, return_inverse=True) if len(ids) else (None, np.zeros(0, int))
-        for _, i, t, p in by_document(who.ravel(), ids, tags, place):
-            add(out, -1, int(i[0]), int(t[0]), packed(p.astype(np.int32)))
-        yield frame(out)
-
-
-def cut_out(shards: int):
-    """Rows (doc_id, tag, data, blobs) to covered spans (shard -1) and cuttings by shard."""
+        for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if s != at or s < 0:
+                if blobs:
+                    yield at, blobs
+                at, blobs = s, []
+            blobs.append(b)
+    if blobs:
+        yield at, blobs
+
+
+def find_twins(boxes: int):
+    """Anchors of a shard to mail with the places whose anchor occurs in two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = Mail(boxes)
+        for s, blobs in runs_of_shards(batches):
+            if s < 0:
+                yield frame(([s], blobs))
+                continue
+            mail.put(*twins(blobs))
+            yield from mail.sent(MAIL)
+        yield from mail.sent(0)
+
+    return run
+
+
+def twins(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """ids, tags and places of a shard's anchors that occur in two documents or more."""
+    parts = [unpacked(b) for b in blobs]
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    place = np.concatenate([p[2] for p in parts])
+    local = [p[1].astype(np.int64) for p in parts]
+    ids, tags = np.concatenate([p[3][k] for p, k in zip(parts, local, strict=True)]), np.concatenate([p[4][k] for p, k in zip(parts, local, strict=True)])
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    extra_of, extra_at = np.concatenate([p[5] + base[i] for i, p in enumerate(parts)]), np.concatenate([p[6] for p in parts])
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    starts, run_of = np.flatnonzero(new), np.empty(len(h), np.int64)
+    run_of[order] = np.cumsum(new) - 1
+    one = (ids * np.int64(0x9E3779B97F4A7C1) ^ tags)[order]
+    least, most = np.minimum.reduceat(one, starts), np.maximum.reduceat(one, starts)
+    some_known = np.maximum.reduceat((place < 0)[order].view(np.int8), starts) > 0
+    repeats = ((least != most) | some_known)[run_of]
+    mine = repeats & (place >= 0)
+    more = repeats[extra_of] & (place[extra_of] >= 0)
+    return np.concatenate((ids[mine], ids[extra_of[more]])), np.concatenate((tags[mine], tags[extra_of[more]])), np.concatenate((place[mine], extra_at[more]))
+
+
+def cut_out(shards: int, boxes: int):
+    """Texts with their mail to mail with covered spans, and cuttings by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = Mail(boxes)
         for g, places in groups_with_places(batches):
             h, first, count, digest, doc = g.segments()
             keep = np.isin(first, places)
             h, first, count, digest, doc = h[keep], first[keep], count[keep], digest[keep], doc[keep]
-            out = [], [], [], []
+            out = [], []
             if len(h):
                 order, covered = repeats(g.text, first, count, (digest, count, h), g.ids[doc])
                 h, first, count, doc, text = h[order], first[order], count[order], doc[order], g.text
-                for d, f, n in by_document(doc[covered], first[covered], count[covered]):
-                    f = f - g.start[d]
-                    add(out, -1, int(g.ids[d]), int(g.tags[d]), packed(*merged(f, f + n + WINDOW - 1)))
+                d, f = doc[covered], first[covered] - g.start[doc[covered]]
+                mail.put(g.ids[d], g.tags[d], f, f + count[covered] + WINDOW - 1)
                 on = ~covered
                 h, first, count, doc = h[on], first[on], count[on], doc[on]
                 shard = shard_of(h, shards)
@@ -291,8 +341,10 @@ def cut_out(shards: int):
                     a, b = cuts[s], cuts[s + 1]
                     size = count[a:b] + WINDOW - 1
                     used, local = np.unique(doc[a:b], return_inverse=True)
-                    add(out, s, 0, 0, packed(text[spread(first[a:b], size)], count[a:b].astype(np.int32), local.astype(np.int32), (first[a:b] - g.start[doc[a:b]]).astype(np.int32), g.ids[used], g.tags[used]))
+                    add(out, s, packed(text[spread(first[a:b], size)], count[a:b].astype(np.int32), local.astype(np.int32), (first[a:b] - g.start[doc[a:b]]).astype(np.int32), g.ids[used], g.tags[used]))
             yield frame(out)
+            yield from mail.sent(MAIL)
+        yield from mail.sent(0)
 
     return run
 
@@ -324,20 +376,36 @@ def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
+def with_mail(batches: Iterator[pa.RecordBatch], column: str = "data") -> Iterator[tuple]:
+    """(doc_id, tag, value of the column, mail or None) of rows sorted by box and kind: a box's blobs come before its texts."""
+    at, blobs, mail = None, [], None
+    for batch in batches:
+        kinds = batch.column("kind").to_pylist()
+        for b, kind, i, t, value, blob in zip(batch.column("box").to_pylist(), kinds, batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column(column), batch.column("blob"), strict=True):
+            if b != at:
+                at, blobs, mail = b, [], None
+            if kind == 0:
+                blobs.append(blob.as_py())
+                continue
+            if mail is None:
+                mail = opened(blobs)
+            yield i, t, value.as_py(), mail.get((i, t))
+
+
 def groups_with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Group, np.ndarray]]:
-    """Groups, and the first windows of the segments that repeat, as places in the group's text."""
+    """Groups of the documents that have mail, and the first windows of the segments that repeat, as places in the group's text."""
     ids, tags, texts, places, size = [], [], [], [], 0
-    for batch in batches:
-        for i, g, t, blobs in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("data"), batch.column("blobs").to_pylist(), strict=True):
-            data = t.as_py()
-            ids.append(i)
-            tags.append(g)
-            texts.append(data)
-            places += [unpacked(b)[0].astype(np.int64) + size for b in blobs]
-            size += len(data)
-            if size >= GROUP_BYTES:
-                yield Group(np.array(ids, np.int64), np.array(tags, np.int64), texts), np.concatenate(places)
-                ids, tags, texts, places, size = [], [], [], [], 0
+    for i, t, data, found in with_mail(batches):
+        if found is None:
+            continue
+        ids.append(i)
+        tags.append(t)
+        texts.append(data)
+        places.append(found[0].astype(np.int64) + size)
+        size += len(data)
+        if size >= GROUP_BYTES:
+            yield Group(np.array(ids, np.int64), np.array(tags, np.int64), texts), np.concatenate(places)
+            ids, tags, texts, places, size = [], [], [], [], 0
     if ids:
         yield Group(np.array(ids, np.int64), np.array(tags, np.int64), texts), np.concatenate(places)
 
@@ -427,45 +495,54 @@ def reaches(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuttings of a shard to the spans that are covered."""
-    for s, rows in runs_of_shards(batches):
-        out = [], [], [], []
-        if s < 0:
-            for d, t, b in rows:
-                add(out, -1, d, t, b)
-            yield frame(out)
-            continue
-        parts = [unpacked(b) for _, _, b in rows]
-        text, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-        ids, tags = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[5][p[2]] for p in parts])
-        begin = np.concatenate([p[3] for p in parts]).astype(np.int64)
-        del parts
-        size = count + WINDOW - 1
-        start = np.cumsum(size) - size
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(gram_hashes(text) * _MIX, dtype=np.uint64)))
-        order, covered = repeats(text, start, count, (total[start + count + SPAN - 1] - total[start], count), ids)
-        del total
-        gone, on = order[covered], order[~covered]
-        found = [(ids[gone], tags[gone], begin[gone], begin[gone] + size[gone])]
-        text, ids, tags, begin, count, size = text[spread(start[on], size[on])], ids[on], tags[on], begin[on], count[on], size[on]
-        start = np.cumsum(size) - size
-        wanted = np.zeros(len(text) + 1, np.int32)
-        np.add.at(wanted, start, 1)
-        np.add.at(wanted, start + count, -1)
-        order, padded = two_stage(text, np.cumsum(wanted)[:-1] > 0)
-        cutting = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
-        head = np.concatenate(([True], ~reaches(padded, order)))
-        smallest = np.minimum.reduceat(ids[cutting], np.flatnonzero(head))[np.cumsum(head) - 1]
-        hit = ids[cutting] > smallest
-        cutting = cutting[hit]
-        where = begin[cutting] + order[hit] - start[cutting]
-        found.append((ids[cutting], tags[cutting], where, where + WINDOW))
-        ids, tags, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, who = np.unique(np.stack((ids, tags)), axis=1, return_inverse=True) if len(ids) else (None, np.zeros(0, int))
-        for _, i, t, x, y in by_document(who.ravel(), ids, tags, a, b):
-            add(out, -1, int(i[0]), int(t[0]), packed(*merged(x, y)))
-        yield frame(out)
+def cover(boxes: int):
+    """Cuttings of a shard to mail with the spans that are covered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = Mail(boxes)
+        for s, blobs in runs_of_shards(batches):
+            if s < 0:
+                yield frame(([s], blobs))
+                continue
+            mail.put(*covered_by(blobs))
+            yield from mail.sent(MAIL)
+        yield from mail.sent(0)
+
+    return run
+
+
+def covered_by(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """ids, tags, starts and ends of what the cuttings of a shard show to be covered."""
+    parts = [unpacked(b) for b in blobs]
+    text, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    ids, tags = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[5][p[2]] for p in parts])
+    begin = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    del parts
+    size = count + WINDOW - 1
+    start = np.cumsum(size) - size
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(gram_hashes(text) * _MIX, dtype=np.uint64)))
+    order, covered = repeats(text, start, count, (total[start + count + SPAN - 1] - total[start], count), ids)
+    del total
+    gone, on = order[covered], order[~covered]
+    found = [(ids[gone], tags[gone], begin[gone], begin[gone] + size[gone])]
+    text, ids, tags, begin, count, size = text[spread(start[on], size[on])], ids[on], tags[on], begin[on], count[on], size[on]
+    start = np.cumsum(size) - size
+    wanted = np.zeros(len(text) + 1, np.int32)
+    np.add.at(wanted, start, 1)
+    np.add.at(wanted, start + count, -1)
+    order, padded = two_stage(text, np.cumsum(wanted)[:-1] > 0)
+    cutting = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    head = np.concatenate(([True], ~reaches(padded, order)))
+    smallest = np.minimum.reduceat(ids[cutting], np.flatnonzero(head))[np.cumsum(head) - 1]
+    # Covered windows as runs: those of one cutting that touch are one span.
+    at = np.sort(order[ids[cutting] > smallest]).astype(np.int64)
+    if len(at):
+        of = np.searchsorted(start, at, "right") - 1
+        new = np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] > at[:-1] + WINDOW)))
+        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))
+        of, shift = of[new], begin[of[new]] - start[of[new]]
+        found.append((ids[of], tags[of], at[new] + shift, at[last] + WINDOW + shift))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -481,36 +558,32 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def covered_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id (null as LAST), tag (a hash of the text), blobs: the packed spans to remove, of documents that have some."""
+def delivered(rows: DataFrame, mail: DataFrame, boxes: int) -> DataFrame:
+    """rows (doc_id, tag and more) and mail (shard, blob) dealt by box and sorted so that a box's mail comes first."""
+    texts = rows.select(box(boxes).alias("box"), F.lit(1).alias("kind"), *rows.columns, F.lit(None).cast("binary").alias("blob"))
+    letters = mail.select((-1 - F.col("shard")).alias("box"), F.lit(0).alias("kind"), "blob")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-boxes // 2))
+    return texts.unionByName(letters, allowMissingColumns=True).repartition(tasks, "box").sortWithinPartitions("box", "kind")
+
+
+def covered_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """Mail with the spans to remove, and the number of its boxes."""
     spark = docs.sparkSession
     rows = texts(docs, doc_id, text).where(F.length("data") >= WINDOW)
     size = rows.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards, lots = max(16, -(-size // SHARD_BYTES)), max(16, -(-size // CUTTING_BYTES))
+    shards, lots, boxes = (max(16, -(-size // n)) for n in (SHARD_BYTES, CUTTING_BYTES, BOX_BYTES))
 
     def by_shard(found: DataFrame, shards: int) -> DataFrame:
         tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8))
-        # What is known already (shard -1) is dealt out by document.
-        key = F.when(F.col("shard") < 0, F.xxhash64("doc_id", "tag")).otherwise(F.xxhash64("shard"))
-        return found.repartition(tasks, key).sortWithinPartitions("shard")
+        return found.repartition(tasks, F.xxhash64("shard")).sortWithinPartitions("shard")
 
-    anchors = by_shard(rows.mapInArrow(first_pass(shards), ROWS), shards)
-    places = staged(anchors.mapInArrow(find_twins, ROWS).select("doc_id", "tag", "blob"), "places")
-    del anchors
+    places = staged(by_shard(rows.mapInArrow(first_pass(shards, boxes), ROWS), shards).mapInArrow(find_twins(boxes), ROWS), "places")
     free(spark)
-    known = places.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list("blob").alias("blobs"))
-    cuttings = rows.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t"))).select("doc_id", "tag", "data", "blobs").mapInArrow(cut_out(lots), ROWS)
-    spans = staged(by_shard(cuttings, lots).mapInArrow(cover, ROWS).select("doc_id", "tag", "blob"), "spans")
-    del cuttings, known
+    cuttings = delivered(rows, places, boxes).mapInArrow(cut_out(lots, boxes), ROWS)
+    spans = staged(by_shard(cuttings, lots).mapInArrow(cover(boxes), ROWS), "spans")
+    del cuttings
     free(spark)
-    return spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list("blob").alias("blobs"))
-
-
-def union_of(blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpacked(b) for b in blobs or []]
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    return spans, boxes
 
 
 def without(data: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -519,19 +592,20 @@ def without(data: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = texts(docs, doc_id, text).join(covered_spans(docs, doc_id, text), (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "data", "blobs")
+    names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [], [], [], [], []
-            for i, t, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = t.as_py()
-                a, b = union_of(blobs)
-                add(out, None if i == LAST else i, len(data), int((b - a).sum()), len(a), hashlib.sha256(without(data, a, b)).hexdigest())
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for i, _, data, found in with_mail(batches):
+            a, b = merged(*found) if found else (NOTHING, NOTHING)
+            add(out, None if i == LAST else i, len(data), int((b - a).sum()), len(a), hashlib.sha256(without(data, a, b)).hexdigest())
+            if len(out[0]) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                out = ([], [], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans, boxes = covered_spans(docs, doc_id, text)
+    return delivered(texts(docs, doc_id, text), spans, boxes).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -549,21 +623,31 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs, all columns, with the repeated passages removed from the text (in whole characters)."""
     names = docs.columns
     whole = F.struct(*(F.col(f"`{c}`") for c in names))  # one column, so that no name can clash
-    keyed = docs.select(whole.alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("tag"))
-    rows = keyed.join(covered_spans(docs, doc_id, text), (F.col("id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("row", "blobs")
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("tag"), whole.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box, blobs, mail = None, [], {}
         for batch in batches:
-            row, bodies = dict(zip(names, batch.column("row").flatten(), strict=True)), []
-            for t, blobs in zip(row[text].to_pylist(), batch.column("blobs").to_pylist(), strict=True):
-                if t is not None and blobs:
-                    data = t.encode()
-                    t = without(data, *whole_characters(data, *union_of(blobs))).decode()
-                bodies.append(t)
+            row, bodies, keep = dict(zip(names, batch.column("row").flatten(), strict=True)), [], []
+            keys = zip(batch.column("box").to_pylist(), batch.column("kind").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("blob"), row[text].to_pylist(), strict=True)
+            for b, kind, i, t, blob, body in keys:
+                if b != box:
+                    box, blobs, mail = b, [], None
+                if kind == 0:
+                    blobs.append(blob.as_py())
+                else:
+                    mail = opened(blobs) if mail is None else mail
+                    found = mail.get((i, t))
+                    if body is not None and found:
+                        data = body.encode()
+                        body = without(data, *whole_characters(data, *merged(*found))).decode()
+                keep.append(kind == 1)
+                bodies.append(body)
             row[text] = pa.array(bodies, pa.string())
-            yield pa.RecordBatch.from_arrays(list(row.values()), names)
+            yield pa.RecordBatch.from_arrays(list(row.values()), names).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    spans, boxes = covered_spans(docs, doc_id, text)
+    return delivered(keyed, spans, boxes).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
