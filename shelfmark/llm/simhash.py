@@ -10,10 +10,13 @@ stars over tables in the shared folder join the links to components; nothing is
 group() is exact: fingerprints of 64 bits that differ in at most r bits agree on whole blocks of bits,
 so each class goes to one shard for every choice of blocks. survivors() looks for texts whose word
 shingles are similar by a share of 0.8 or more, which 64-bit fingerprints hold up to 18 bits apart:
-it takes 128 bits and deals by MINHASHES minimal shingle hashes (two texts of similarity 0.8 share
-none of them with a probability of 0.2**MINHASHES).
+it takes 128 bits of each shingle once and deals by MINHASHES minimal shingle hashes (two texts of
+similarity 0.8 share none of them with a probability of 0.2**MINHASHES). There the radius, SLACK
+standard deviations wide, only finds candidates: texts that it joins within a shard form a group, to
+which their texts are sent, and links are pairs of a group whose sets of shingles have that similarity.
+Different texts are different members even where their fingerprints are equal.
 
-Null or empty text: fingerprint zero, linked like any other. A null doc_id counts after every id: the
+Null or empty text: fingerprint zero, linked like any other (two empty sets of shingles count as equal). A null doc_id counts after every id: the
 row is kept, and its component_id is the least id of its component, null if there is none. Repeated
 rows are kept by group(); survivors() keeps one row of them. Tables without rows give none. Other
 columns of the input are ignored by group(), and kept by survivors().
@@ -22,7 +25,8 @@ columns of the input are ignored by group(), and kept by survivors().
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +41,10 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 SHARD = 4096
 #: The blocks of bits that a shard's members share are so chosen that a mean shard stays below this.
 MEAN_SHARD = 256
-#: For survivors(): words of a shingle, similarity, bits, minimal hashes, and standard deviations that the radius allows for.
-NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINHASHES, SLACK = 5, 0.8, 128, 8, 0.9
+#: For survivors(): words of a shingle, similarity, bits, minimal hashes, and standard deviations that the radius for candidates allows for.
+NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINHASHES, SLACK = 5, 0.8, 128, 8, 6
+#: Shingles in one part of a group of candidates; each two parts of a larger group are compared.
+PART_SHINGLES = 1 << 20
 _ODD = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 3, 2**64)) for i in range(MINHASHES)]
 
 
@@ -72,6 +78,12 @@ def fingerprint(text: str | None, k: int = SHINGLE, bits: int = 64) -> int:
     return majority(shingle_hashes(text, k, bits))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set of shingles as sorted numbers, and the rows of the hashes without repeats."""
+    found, at = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel(), return_index=True)
+    return found, hashes[at]
+
+
 def minima(hashes: np.ndarray) -> list[int]:
     """Minimal shingle hashes under MINHASHES orders; empty texts share one key."""
     if not len(hashes):
@@ -87,17 +99,22 @@ def minima(hashes: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, bits: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (big-endian bytes), and for wide fingerprints the keys of the shards and a hash of the text."""
+    """doc_id, fp (big-endian bytes), and for wide fingerprints the keys of the shards and a hash of the text.
+
+    A wide fp is that of the set of shingles, followed by the hash of the text (8 bytes) and the size of the set (4 bytes).
+    """
     wide = bits > 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, keys = [], []
-            for t in batch.column(1):
+            for i, t in enumerate(batch.column(1)):
                 h = shingle_hashes(t.as_py(), k, bits)
-                found.append(majority(h).to_bytes(bits // 8, "big"))
                 if wide:
+                    h = distinct(h)[1]
                     keys.append(minima(h))
+                more = batch.column(2)[i].as_py().to_bytes(8, "big", signed=True) + len(h).to_bytes(4, "big") if wide else b""
+                found.append(majority(h).to_bytes(bits // 8, "big") + more)
             more = [pa.array(keys, pa.list_(pa.int64())), batch.column(2)] if wide else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *more], ["doc_id", "fp", *(["keys", "tag"] if wide else [])])
 
@@ -168,6 +185,73 @@ def links_of_shard(trees: list[int], others: list[int] | None, radius: int) -> l
     return [(values[r], v) for i, v in enumerate(values) if (r := find(i)) != i]
 
 
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[list[tuple[int, int]]]:
+    """Of the components of n members that have two or more, the links of a tree; near(i, rest) tells which of rest i is linked to."""
+    rest, trees = np.arange(n), []
+    while len(rest) > 1:
+        todo, rest, tree = [int(rest[0])], rest[1:], []
+        while todo and len(rest):
+            i = todo.pop()
+            hit = near(i, rest)
+            found = rest[hit].tolist()
+            tree += [(i, j) for j in found]
+            todo += found
+            rest = rest[~hit]
+        if tree:
+            trees.append(tree)
+    return trees
+
+
+def near_by_bits(members: list[bytes], radius: int, similarity: float) -> tuple[np.ndarray, Callable[[int, np.ndarray], np.ndarray]]:
+    """The sizes of the sets of shingles, and which members are candidates: wide fingerprints within the radius, and sizes that allow the similarity."""
+    raw = np.frombuffer(b"".join(members), np.uint8).reshape(len(members), -1)
+    a, b = np.ascontiguousarray(raw[:, :16]).view(np.uint64).T.copy()
+    sizes = np.ascontiguousarray(raw[:, 24:]).view(">u4").ravel().astype(np.int64)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        n = sizes[rest]
+        bits = np.bitwise_count(a[rest] ^ a[i]) + np.bitwise_count(b[rest] ^ b[i])
+        return (bits <= radius) & (np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i]))
+
+    return sizes, near
+
+
+def candidates_of_shard(trees: list[int], others: list[int] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """(group, member) of the groups that candidate links join in a shard. A group is named by a hash of its members, so that the shards that find it agree."""
+    members = sorted(v.to_bytes(NEAR_BITS // 8 + 12, "big") for v in trees + (others or []))
+    sizes, near = near_by_bits(members, radius, similarity)
+    found = []
+    for tree in spread(len(members), near):
+        at = np.sort([tree[0][0], *(j for _, j in tree)])
+        part = np.cumsum(sizes[at]) // PART_SHINGLES
+        parts = [at[part == p].tolist() for p in np.unique(part)]
+        for group in [x + y for x, y in combinations(parts, 2)] or parts:
+            name = xxhash.xxh3_128_intdigest(b"".join(members[i] for i in group))
+            found += [(name, int.from_bytes(members[i], "big")) for i in group]
+    return found
+
+
+def links_of_group(members: list[bytes], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of a group, each between two members whose sets of shingles have the similarity."""
+    sizes, close = near_by_bits(members, radius, similarity)
+    vocabulary, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places, marked = np.split(places, np.cumsum(sizes)[:-1]), np.zeros(len(vocabulary), bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = close(i, rest)
+        at = rest[hit]
+        if len(at):
+            marked[places[i]] = True
+            sums = np.concatenate(([0], np.cumsum(marked[np.concatenate([places[j] for j in at])])))
+            marked[places[i]] = False
+            ends = np.cumsum(sizes[at])
+            shared = sums[ends] - sums[ends - sizes[at]]
+            hit[hit] = shared >= similarity * (sizes[i] + sizes[at] - shared)
+        return hit
+
+    return [(members[i], members[j]) for tree in spread(len(members), near) for i, j in tree]
+
+
 def masks(n: int, radius: int) -> list[int]:
     """Masks of the bits that shards share: every choice of blocks on which two fingerprints within the radius must agree for one choice at least.
 
@@ -197,8 +281,8 @@ def block_keys(classes: DataFrame, n: int, radius: int) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp binary")
 
 
-def links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links a < b between fingerprints that share a key (columns key, fp, without repeats): they join what lies within the radius."""
+def links(rows: DataFrame, radius: int, of_shard: Callable[[list[int], list[int] | None, int], list[tuple[int, int]]] = links_of_shard) -> DataFrame:
+    """Links a < b between fingerprints that share a key (columns key, fp, without repeats): they join what lies within the radius. Or the pairs a, b that of_shard makes of each shard."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
     rows = rows.join(sizes, F.col("key") == F.col("_key"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -221,10 +305,10 @@ def links(rows: DataFrame, radius: int) -> DataFrame:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 values = fp[a:b].tolist()
                 if i[a] == j[a]:
-                    found += links_of_shard(values, None, radius)
+                    found += of_shard(values, None, radius)
                 else:
                     cut = int((part[a:b] == i[a]).sum())
-                    found += links_of_shard(values[:cut], values[cut:], radius)
+                    found += of_shard(values[:cut], values[cut:], radius)
             rest = [c[cuts[-1] :] for c in rest]
             sides = [pa.array([p[k].to_bytes(size, "big") for p in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
@@ -279,6 +363,31 @@ def near_radius(similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> int:
     return int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
 
+def verified(groups: DataFrame, docs: DataFrame, k: int, radius: int, similarity: float, text: str = "text") -> DataFrame:
+    """Links a, b between the members of groups (columns a: group, b: member) whose texts have the similarity. A text goes to each group that it is in."""
+    tag = F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    member = groups.select(F.col("a").alias("group"), F.col("b").alias("member"), F.substring("b", NEAR_BITS // 8 + 1, 8).alias("tag"))
+    wanted = docs.select(tag.alias("_tag"), F.col(text).alias("text")).join(member.select(F.col("tag").alias("_tag")).distinct(), "_tag", "left_semi")
+    rows = member.join(wanted.groupBy("_tag").agg(F.first("text").alias("text")), F.col("tag") == F.col("_tag")).select("group", "member", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, sets = None, [], []
+        for batch in _with_end(batches):
+            found: list[tuple[bytes, bytes]] = []
+            for g, m, t in [(None, None, None)] if batch is None else zip(*batch.columns, strict=True):
+                g = g and g.as_py()
+                if g != group:
+                    if members:
+                        found += links_of_group(members, sets, radius, similarity)
+                    group, members, sets = g, [], []
+                if g is not None:
+                    members.append(m.as_py())
+                    sets.append(distinct(shingle_hashes(t.as_py(), k, NEAR_BITS))[0])
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return rows.repartition("group").sortWithinPartitions("group", "member").mapInArrow(run, "a binary, b binary")
+
+
 def survivors(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row (the least doc_id, null last) of each group of near copies."""
     last = F.lit(2**63 - 1)
@@ -286,7 +395,9 @@ def survivors(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILA
     first = F.min(F.struct(F.coalesce("doc_id", last).alias("id"), F.col("tag").alias("tag"))).alias("first")
     classes = staged(rows.groupBy("fp").agg(first, F.first("keys").alias("keys")), "classes")
     dealt = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "fp")
-    known = rooted(classes, components(links(dealt, near_radius(similarity))))
+    radius = near_radius(similarity)
+    groups = staged(links(dealt, radius, partial(candidates_of_shard, similarity=similarity)).distinct(), "candidates")
+    known = rooted(classes, components(verified(groups, docs, k, radius, similarity, text)))
     chosen = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.tag").alias("_keep_tag"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # one column, so that no name can clash
     keyed = docs.select(whole.alias("row"), F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.xxhash64(text).alias("tag"))

@@ -91,6 +91,71 @@ def test_survivors(spark, docs, empty):
     assert kept.schema == docs.schema and len(texts) == len(set(texts)) and simhash.survivors(empty).count() == 0
 
 
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def kept_by_force(rows):
+    """The least id of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8."""
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := text.lower().split()) else frozenset() for _, text in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return {rows[i][0] for i in root}
+
+
+def test_survivors_by_true_similarity(spark):
+    """Pairs on both sides of 0.8, short texts, and copies that repeat a line many times."""
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = ["", "one two"]
+    for _ in range(150):
+        base = words(r.choice([8, 9, 12, 60, 200]))
+        copy = list(base)
+        for _ in range(max(1, round(len(base) * r.uniform(0.01, 0.06)))):
+            copy[r.choice([0, -1, r.randrange(len(copy))])] = f"x{r.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(copy), " ".join(base[:-1])]
+    for _ in range(10):
+        body, line = words(120), words(9)
+        texts += [" ".join(body + line), " ".join(body + line * 40)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id for x in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept_by_force(rows)
+
+
+def test_links_of_candidates(monkeypatch):
+    """Groups that are cut into parts hold each candidate pair; equal fingerprints don't link different texts."""
+    r = random.Random(8)
+    sets, members = [], []
+    for _ in range(6):
+        base = r.sample(range(10**6), 50)
+        for _ in range(8):
+            found = simhash.np.unique(simhash.np.array([r.randrange(10**6) if r.random() < 0.08 else x for x in base], simhash.np.uint64))
+            sets.append(found)
+            members.append(bytes(16) + len(members).to_bytes(8, "big") + len(found).to_bytes(4, "big"))
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 300)
+    groups = {}
+    for name, m in simhash.candidates_of_shard([int.from_bytes(m, "big") for m in members], None, 43, 0.8):
+        groups.setdefault(name, []).append(members.index(m.to_bytes(28, "big")))
+    assert len(groups) > 20
+    whole = [set(s.tolist()) for s in sets]
+    joined = lambda pairs: {frozenset(g) for g in connected(pairs, len(members))}
+    got = [(members.index(a), members.index(b)) for g in groups.values() for a, b in simhash.links_of_group([members[i] for i in g], [sets[i] for i in g], 43, 0.8)]
+    assert all(similar(whole[a], whole[b]) for a, b in got)
+    assert joined(got) == joined([(i, j) for i in range(len(members)) for j in range(i) if similar(whole[i], whole[j])])
+
+
+def connected(pairs, n):
+    groups = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        both = groups[a] | groups[b]
+        groups |= dict.fromkeys(both, both)
+    return groups.values()
+
+
 def test_tree_search_is_exact():
     r = random.Random(9)
     values = list({r.getrandbits(12) for _ in range(500)})
