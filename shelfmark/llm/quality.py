@@ -47,7 +47,7 @@ def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         F.size(F.filter("words", lambda x: x.rlike(PLAIN))).cast("long").alias("n_plain"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?\"'][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
         (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        F.size(F.array_intersect(F.transform(F.slice("words", 1, 400), F.lower), F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop"),
+        F.size(F.array_intersect(F.transform("words", F.lower), F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop"),
     )
     return rows.withColumn("n_repeat_words", repeated_words(F.col("w"))).drop("w")
 

@@ -41,3 +41,11 @@ def test_estimates_find_good_and_bad_rules(spark):
 def test_main_path_is_native(docs):
     plan = quality.judge(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stop_words_of_the_whole_text(spark):
+    """Function words behind the first 400 words count, in any case, once each."""
+    head = " ".join(f"word{i}" for i in range(450))
+    rows = [(1, head), (2, head + " The the OF"), (3, head + " the of and " + head + " le der")]
+    got = quality.base(spark.createDataFrame(rows, "doc_id long, text string")).withColumns(quality.rules()).collect()
+    assert sorted((r.doc_id, r.n_stop, r.v_stop_words) for r in got) == [(1, 0, 0), (2, 2, None), (3, 5, 1)]
