@@ -3,7 +3,9 @@
 Letters are lower-cased, other characters become blanks, and the 1- to 3-grams of code points are
 hashed to 2**BITS coordinates. Inverse document frequencies count every document that may be learned
 from; follow-the-regularised-leader with elastic-net penalties learns weights from a bounded sample
-(MAX_TRAIN, by a hash of the id); a temperature is then fitted on sample rows kept from the gradient.
+(MAX_TRAIN, by a hash of the id, drawn in turn from each language that the usable rows have, so that none
+is lost: one row of each at least); a temperature is then fitted on sample rows kept from the gradient, up
+to a fifth of each language's.
 A term counts as its share of the text's n-grams times its idf.
 
 `und` with score 0 for texts that are null or have no letter. Rows with null lang, null doc_id or held out
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.llm.common import held_out, table
 
@@ -175,21 +178,26 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     usable = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.where(~held_out(F.col("id")))
     weight = idf(usable)
-    chosen = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_train)
+    labelled = usable.select("id", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    most = max(max_train, usable.select("lang").distinct().count())
+    chosen = labelled.withColumn("place", place).where(F.col("place") <= max_train).orderBy("place", F.xxhash64("id"), "id", "lang").limit(most)
+    chosen = chosen.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["id", "lang", "at", "n"])
 
-    sample = usable.join(F.broadcast(chosen.withColumnRenamed("id", "_id")), F.col("id") == F.col("_id")).select("id", "lang", "text")
+    sample = usable.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("id", "lang", "text")
     found = sorted(sample.mapInArrow(run, "id long, lang string, at binary, n binary").collect(), key=lambda r: (r.id, r.lang, bytes(r.n)))
     langs = tuple(sorted({r.lang for r in found}))
-    rows, held = [], []
-    for i, r in enumerate(found):
+    rows, held, seen = [], [], dict.fromkeys(langs, 0)
+    for r in found:
         at, c = np.frombuffer(r["at"], np.uint32), np.frombuffer(r.n, np.uint32)
         if len(at):
-            (held if i % 5 == 4 else rows).append((at, SCALE * c / c.sum() * weight[at], langs.index(r.lang)))
+            seen[r.lang] += 1
+            (held if seen[r.lang] % 5 == 0 else rows).append((at, SCALE * c / c.sum() * weight[at], langs.index(r.lang)))
     if not langs:
         return Model((), np.zeros((2**BITS, 0), np.float32), np.zeros(0), 1.0)
     w, b = train(rows, len(langs))

@@ -75,6 +75,20 @@ def test_languages(spark, docs, empty):
     assert {x.lang_pred for x in langid.predict(frame, langid.fit(frame.limit(0))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    """A language of a few documents among thousands keeps its label, however small the sample."""
+    r = random.Random(6)
+    text = lambda syllables: " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(25))
+    rows = [(i, text(["zor", "kla", "mu"]) if i % 2 else text(["shi", "ngth", "wha"]), "aa" if i % 2 else "cc") for i in range(3000)]
+    rows += [(3000 + i, text(["ëti", "sén", "ou"]), "bb") for i in range(16)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, 60)
+    assert model.langs == ("aa", "bb", "cc")
+    out = langid.predict(frame.where("lang = 'bb'"), model).collect()
+    assert np.mean([x.lang_pred == "bb" for x in out]) > 0.9
+    assert langid.fit(frame, 1).langs == ("aa", "bb", "cc")
+
+
 def test_letters_of_all_scripts_count():
     assert all(len(langid.folded(t)) > 2 for t in ("İ", "ß", "字", "𝔘", "я", "ª")) and all(len(langid.folded(t)) <= 2 for t in ("", " ", "12 $", "…!", "\n"))
 
