@@ -23,7 +23,7 @@ from shelfmark.llm.common import table
 MIN_MATCH, THRESHOLD = 5, 0.8
 #: Length that the search for long matches starts with.
 START = 24
-#: Bytes of benchmark text that a broadcast block holds on average; twice as much is refused.
+#: Bytes of benchmark text that a broadcast block holds on average; one of over twice as much is cut, and an item that is larger alone has a block of its own.
 BLOCK_BYTES = 8_000_000
 CACHE = 400_000
 _MARKS = "\"'`.,;:!?()[]{}<>*_-#$%&|/\\~^+=@¿¡«»“”‘’…"
@@ -179,23 +179,35 @@ def free_runs(marked: list[bool], s: int) -> Iterator[int]:
             yield i - s + 1
 
 
-def benchmark_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks that are small enough to broadcast."""
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+def counted_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[tuple[int | None, int], str | None]]]:
+    """The items, as ((item_id, equal rows), text), in blocks to broadcast."""
+    rows = items.groupBy(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).agg(F.count("*").alias("copies"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for b in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
-        if n > 1 and (block.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > 2 * block_bytes:
-            raise ValueError(f"a block of the benchmark has more than {2 * block_bytes} bytes: its items are too large to broadcast")
-        yield [(r.item_id, r.text) for r in block.collect()]
+        found, size = [], 0
+        for r in block.toLocalIterator():
+            more = len((r.text or "").encode("utf-8", "surrogatepass"))
+            if found and size + more > 2 * block_bytes:
+                yield found
+                found, size = [], 0
+            found.append(((r.item_id, r.copies), r.text))
+            size += more
+        yield found
+
+
+def benchmark_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items, equal rows once, in blocks to broadcast."""
+    for block in counted_blocks(items, item_id, text, block_bytes):
+        yield [(item, t) for (item, _), t in block]
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document and benchmark item that it leaks: doc_id, item_id, n_tiles, n_matched, n_item_words, coverage."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for block in benchmark_blocks(items):
+    for block in counted_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -207,11 +219,13 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min
                         if hit[2] >= threshold * hit[3]:
                             at.append(k)
                             rows.append(hit)
-                cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-                share = [m / n for m, n in zip(cols[2], cols[3], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_tiles", "n_matched", "n_item_words", "coverage"])
+                cols = [*zip(*((*item, *rest) for item, *rest in rows), strict=True)] if rows else [(), (), (), (), ()]
+                share = [m / n for m, n in zip(cols[3], cols[4], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols), pa.array(share, pa.float64())], ["doc_id", "item_id", "copies", "n_tiles", "n_matched", "n_item_words", "coverage"])
 
-        found = docs.mapInArrow(run, "doc_id long, item_id long, n_tiles long, n_matched long, n_item_words long, coverage double")
+        found = docs.mapInArrow(run, "doc_id long, item_id long, copies long, n_tiles long, n_matched long, n_item_words long, coverage double")
+        each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")
+        found = found.select("doc_id", "item_id", "n_tiles", "n_matched", "n_item_words", "coverage", each).drop("_copy")
         out = found if out is None else out.union(found)
     return out
 

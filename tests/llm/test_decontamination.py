@@ -64,3 +64,19 @@ def test_blocks_hold_every_item(spark):
     items = spark.createDataFrame([(i, f"word{i} " * 20) for i in range(200)], "item_id long, text string")
     blocks = list(d.benchmark_blocks(items, block_bytes=8_000))
     assert len(blocks) > 1 and sorted(i for b in blocks for i, _ in b) == list(range(200))
+
+
+def test_large_and_repeated_items(spark, monkeypatch):
+    """Many equal rows and an item beyond the size of a block: every result, each equal row with its own."""
+    r = random.Random(7)
+    item, large, small = r.sample(WORDS, 36), [r.choice(WORDS) for _ in range(900)], r.sample(WORDS, 30)
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, "lead " + " ".join(large)), (3, "none of it"), (4, " ".join(small))], "doc_id long, text string")
+    rows = [(10, " ".join(item))] * 50 + [(11, " ".join(large)), (None, " ".join(small)), (12, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(d.counted_blocks(items, block_bytes=400))
+    assert sorted((x for b in blocks for x, _ in b), key=str) == sorted([(10, 50), (11, 1), (None, 1), (12, 1)], key=str) and len(blocks) > 1
+    whole = d.counted_blocks
+    monkeypatch.setattr(d, "counted_blocks", lambda items, *_: whole(items, block_bytes=400))
+    got = [(x.doc_id, x.item_id) for x in d.matches(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(1, 10)] * 50 + [(2, 11), (4, None)], key=str)
+    assert [x.doc_id for x in d.clean(docs, items).collect()] == [3]
