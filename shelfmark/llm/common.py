@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -11,24 +12,30 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that one sorted block of a gapless rank holds on average.
 BLOCK_ROWS = 200_000
-
-
 #: Bytes of a batch that Spark hands to Python: long texts come in batches of fewer rows.
 BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; in its session, long texts are handed to Python in batches of fewer rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) takes one below the warehouse; a cluster is refused,
+    as a folder of one machine would be lost to the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+
+
+#: Where staged tables lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +43,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empties staged tables that nothing will read any more."""
+    for df in tables:
+        df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(_PATHS.pop(df))
+
+
+def first_of(rows: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
+    """The first rows in order (one at least) whose sizes add up to at most so much. Order and sizes of all rows come to the driver: only for samples of bounded number."""
+    total, last = 0, None
+    for r in rows.select(*order, size).orderBy(*order).collect():
+        total += r[size]
+        if last is not None and total > most:
+            return rows.where(F.struct(*order) <= F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, last, strict=True))))
+        last = [r[c] for c in order]
+    return rows
 
 
 def held_out(doc_id: Column) -> Column:

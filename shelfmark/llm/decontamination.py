@@ -7,12 +7,16 @@ is its coverage, whatever the order of its passages in the document; THRESHOLD o
 
 The benchmark is broadcast in blocks of a checked size, by a hash of the item, and the documents are
 scanned once a block. Null or empty texts have no words and match nothing; an item of fewer than
-MIN_MATCH words must occur whole. A null doc_id is kept. Repeated rows are judged each for itself.
+MIN_MATCH words must occur whole. A null doc_id is kept. Repeated rows are judged each for itself. Of equally
+long matches the one that begins first in the item, then in the document, is marked first. A very long text
+takes memory for a number per word; tiling sees only the places around shared seeds. Tables without rows give
+none; other columns are ignored by matches(), and kept by clean().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ START = 24
 #: Bytes of benchmark text that a broadcast block holds on average; one of over twice as much is cut, and an item that is larger alone has a block of its own.
 BLOCK_BYTES = 8_000_000
 CACHE = 400_000
+_WORKER: dict[str, "Benchmark"] = {}
 _MARKS = "\"'`.,;:!?()[]{}<>*_-#$%&|/\\~^+=@¿¡«»“”‘’…"
 _P = np.int64(0x9E3779B97F4A7C1)
 
@@ -108,6 +113,14 @@ class Benchmark:
                 yield item_id, len(tiles), sum(n for _, _, n in tiles), len(pattern)
 
 
+def ready(name: str, block: Callable[[], list], min_match: int) -> Benchmark:
+    """This worker's own, which stays from task to task; blocks come one after the other, so only the last is kept."""
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Benchmark(block(), min_match)
+    return _WORKER[name]
+
+
 def tiling(pattern: list[int], text: list[int], min_match: int, start: int = START) -> list[tuple[int, int, int]]:
     """Greedy string tiling by running Karp-Rabin: (place in pattern, place in text, length) of the tiles.
 
@@ -210,8 +223,8 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min
     for block in counted_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, min_match)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            bench = ready(name, lambda: shared.value, min_match)
             for batch in batches:
                 at, rows = [], []
                 for k, t in enumerate(batch.column(1)):
@@ -235,8 +248,8 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_m
     for block in benchmark_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, min_match)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            bench = ready(name, lambda: shared.value, min_match)
             for batch in batches:
                 keep = [not any(h[2] >= threshold * h[3] for h in bench.hits(t.as_py())) for t in batch.column(text)]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -3,18 +3,22 @@
 Letters are lower-cased, other characters become blanks, and the 1- to 3-grams of code points are
 hashed to 2**BITS coordinates. Inverse document frequencies count every document that may be learned
 from; follow-the-regularised-leader with elastic-net penalties learns weights from a bounded sample
-(MAX_TRAIN, by a hash of the id, drawn in turn from each language that the usable rows have, so that none
-is lost: one row of each at least); a temperature is then fitted on sample rows kept from the gradient, up
-to a fifth of each language's.
-A term counts as its share of the text's n-grams times its idf.
+(MAX_TRAIN documents, by a hash of the id, drawn in turn from each language that the usable rows have, so
+that none is lost: one row of each at least; of these the first that have MAX_TERMS terms in all). A
+temperature is then fitted on sample rows kept from the gradient, up to a fifth of each language's: on the
+whole texts and on cuttings of one, three and eight words, as long texts alone would make short ones
+look certain. A term counts as its share of the text's n-grams times its idf.
 
 `und` with score 0 for texts that are null or have no letter. Rows with null lang, null doc_id or held out
-are never learned from. With nothing to learn from, every prediction is `und`. Other columns are ignored.
+are never learned from; of several texts of one id and language the one whose terms come first in order is.
+Of languages with equal scores the first by name is predicted. A very long text is worked on in parts of
+CHARS characters. With nothing to learn from, every prediction is `und`. Repeated rows give repeated rows, tables
+without rows none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.llm.common import held_out, table
+from shelfmark.llm.common import discard, first_of, held_out, staged, table
 
 BITS = 15
 #: Documented bound of the sample that weights and temperature are learned from.
 MAX_TRAIN = 2400
+#: Documented bound of the terms that the driver receives (8 bytes each).
+MAX_TERMS = 12_000_000
+#: Words of the cuttings that the temperature is fitted on beside whole texts.
+SHORT = (1, 3, 8)
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 3, 0.5, 1.0, 0.02, 0.05, 30.0
 #: Characters that are worked on at once.
 CHARS = 2_000_000
@@ -39,12 +47,11 @@ def fold_table() -> np.ndarray:
     """Lower-case code point for each letter, a blank for all else."""
     if "fold" not in _WORKER:
         fold = np.full(0x110000, 32, np.uint32)
-        for c in range(0x20000):
+        for c in range(0x40000):  # no letter stands above
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
                 fold[c] = ord(low) if len(low) == 1 else c
-        fold[0x20000:0x32000] = [c if unicodedata.category(chr(c)) == "Lo" else 32 for c in range(0x20000, 0x32000)]
         _WORKER["fold"] = fold
     return _WORKER["fold"]
 
@@ -81,17 +88,29 @@ def sums(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.n
             at += 1
         starts = np.cumsum([0, *(len(c) for _, c in group)])
         codes, ids = np.concatenate([c for _, c in group]), np.array([i for i, _ in group])
-        for k, g in enumerate(grams(codes)):
-            rows = np.zeros((len(codes) + 1, weights.shape[1]), weights.dtype)
-            rows[: len(g)] = weights[g]
-            for j in range(k):  # n-grams that run into the next text
-                rows[np.maximum(starts[1:] - 1 - j, 0)] = 0
-            out[ids] += np.add.reduceat(rows, starts[:-1], axis=0)[:, :]
         sizes = np.diff(starts)
         n[ids] = np.where(sizes > 2, 3 * sizes - 3, 0)
+        for a in range(0, len(codes), CHARS):  # parts of a very long text
+            part, b = codes[a : a + CHARS + 2], min(a + CHARS, len(codes))
+            inside = np.clip(starts, a, b) - a
+            used = np.flatnonzero(np.diff(inside))
+            for k, g in enumerate(grams(part)):
+                rows = np.zeros((b - a, weights.shape[1]), weights.dtype)
+                rows[: len(g)] = weights[g[: b - a]]
+                for j in range(k):  # n-grams that run into the next text
+                    last = starts[1:] - 1 - j - a
+                    rows[last[(last >= 0) & (last < b - a)]] = 0
+                out[ids[used]] += np.add.reduceat(rows, inside[:-1][used], axis=0)
     return out, n
 
 
+def cut_short(text: str, words: int) -> str:
+    """Some words of a text, from a place that its hash decides."""
+    found = text.split()
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(found) - words + 1)
+    return " ".join(found[at : at + words])
+
+
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The text's coordinates and how often each occurs."""
     codes = folded(text or "")
@@ -174,7 +193,7 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Model:
     usable = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.where(~held_out(F.col("id")))
     weight = idf(usable)
@@ -182,22 +201,35 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     most = max(max_train, usable.select("lang").distinct().count())
     chosen = labelled.withColumn("place", place).where(F.col("place") <= max_train).orderBy("place", F.xxhash64("id"), "id", "lang").limit(most)
-    chosen = chosen.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"))
+    chosen = chosen.select("place", F.xxhash64("id").alias("h"), F.col("id").alias("_id"), F.col("lang").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["id", "lang", "at", "n"])
-
-    sample = usable.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("id", "lang", "text")
-    found = sorted(sample.mapInArrow(run, "id long, lang string, at binary, n binary").collect(), key=lambda r: (r.id, r.lang, bytes(r.n)))
+            found = []
+            for t in batch.column("text"):
+                whole = t.as_py()
+                parts = [counts(whole), *(counts(cut_short(whole, k)) for k in SHORT)]
+                found.append([np.concatenate([x[i] for x in parts]).tobytes() for i in (0, 1)] + [[len(a) for a, _ in parts]])
+            at, n, sizes = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "h", "id", "lang")), pa.array(at, pa.binary()), pa.array(n, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], ["place", "h", "id", "lang", "at", "n", "sizes"])
+
+    sample = usable.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("place", "h", "id", "lang", "text")
+    sample = sample.mapInArrow(run, "place int, h long, id long, lang string, at binary, n binary, sizes array<int>")
+    sample = sample.groupBy("place", "h", "id", "lang").agg(F.min(F.struct("at", "n", "sizes")).alias("x")).select("place", "h", "id", "lang", "x.*", (F.length("x.at") / 4).alias("terms"))
+    sample = staged(sample, "language-sample")
+    found = first_of(sample, ["place", "h", "id", "lang"], "terms", max_terms).orderBy("id", "lang").collect()
+    discard(sample)
     langs = tuple(sorted({r.lang for r in found}))
     rows, held, seen = [], [], dict.fromkeys(langs, 0)
     for r in found:
-        at, c = np.frombuffer(r["at"], np.uint32), np.frombuffer(r.n, np.uint32)
-        if len(at):
+        at, c = (np.split(np.frombuffer(x, np.uint32), np.cumsum(r.sizes)[:-1]) for x in (r["at"], r.n))
+        terms = [(a, SCALE * k / k.sum() * weight[a], langs.index(r.lang)) for a, k in zip(at, c, strict=True) if len(a)]
+        if len(at[0]):
             seen[r.lang] += 1
-            (held if seen[r.lang] % 5 == 0 else rows).append((at, SCALE * c / c.sum() * weight[at], langs.index(r.lang)))
+            if seen[r.lang] % 5:
+                rows.append(terms[0])
+            else:
+                held += terms
     if not langs:
         return Model((), np.zeros((2**BITS, 0), np.float32), np.zeros(0), 1.0)
     w, b = train(rows, len(langs))

@@ -3,16 +3,19 @@
 A document's ids are cut every 4096 tokens; full pieces are sequences of their own, and what is left
 is an item. Items fall into 256 classes of UNIT tokens, and the histogram of classes (bounded,
 whatever the corpus) is what the linear program sees: revised simplex over patterns of classes, with
-a knapsack by dynamic programming that prices new columns. Patterns are rounded down, the few items
-left over are packed by best fit, and every document's rank in its class says which copy of which
-pattern takes it.
-
-Null text: empty, so its one id is the closing one. A null doc_id and repeated rows are kept. Tables
-without rows give none. Other columns of the input are ignored.
+a knapsack by dynamic programming that prices new columns. Pricing ends at the optimum, or after MOST_STEPS
+columns, which is logged: the patterns found by then hold every item all the same, with more padding.
+Patterns are rounded down, the few items left over are packed by best fit, and every document's rank in its
+class says which copy of which pattern takes it.
+
+Null text: empty, so its one id is the closing one. A null doc_id and repeated rows are kept. Ties in rank
+(equal doc_id, start, crc and length) are equal pieces: either order gives the same rows. A very long text is
+cut into as many pieces as it needs. Tables without rows give none. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -28,6 +31,8 @@ from shelfmark.llm.common import gapless, staged, table
 
 MODEL, END_ID, CAPACITY, UNIT = "word_bpe_49k.json", 2, 4096, 16
 CLASSES = CAPACITY // UNIT
+#: Columns that the linear program generates at most.
+MOST_STEPS = 20_000
 #: Words that a worker keeps the ids of.
 CACHE = 600_000
 #: Characters that are looked up at once.
@@ -162,7 +167,7 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), found
 
 
-def generate(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def generate(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = MOST_STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and how often each is used, in the linear program's optimum: as few patterns as hold the demand."""
     m = len(size)
     columns = np.diag((capacity // size).astype(float))
@@ -187,6 +192,8 @@ def generate(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 20
         inverse -= np.outer(d, row)
         inverse[r] = row
         columns[:, r] = a
+    else:
+        logging.getLogger(__name__).warning("column generation ended after %d columns, short of the optimum", most)
     return columns, np.maximum(x, 0)
 
 

@@ -6,7 +6,8 @@ share of good texts; the posterior probability that a text is good then decides,
 demand that every rule passes. The patterns of all documents count but those that the contract's base
 rules reject whatever the votes say: they would make the bad class theirs.
 
-Null or empty text: no words, all counts 0, base_failed. A null doc_id and repeated rows are kept.
+Null or empty text: no words, all counts 0, base_failed. A null doc_id and repeated rows are kept. A posterior
+of just KEEP_AT keeps a text; equal texts are judged alike. All counts are of the whole text, however long.
 Tables without rows give none. Other columns of the input are ignored.
 """
 
@@ -176,7 +177,7 @@ base AS MATERIALIZED (SELECT doc_id, len(words)::BIGINT AS n_words, length(regex
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, len(list_filter(words, lambda w: regexp_matches(w, '{plain}'))) AS n_plain,
   len(list_filter(lines, lambda x: regexp_matches(x, '[.!?"''][\x20\x09-\x0D]*$'))) AS n_ended, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
-  len(list_intersect(list_distinct(list_transform(words[1:400], lambda w: lower(w))), [{literal(STOP_WORDS)}])) AS n_stop
+  len(list_intersect(list_distinct(list_transform(words, lambda w: lower(w))), [{literal(STOP_WORDS)}])) AS n_stop
   FROM cut LEFT JOIN repeated USING (r)),
 voted AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed, {votes} FROM base),
 patterns AS MATERIALIZED (SELECT {", ".join(names)}, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY ALL),

@@ -18,7 +18,8 @@ Different texts are different members even where their fingerprints are equal.
 
 Null or empty text: fingerprint zero, linked like any other (two empty sets of shingles count as equal). A null doc_id counts after every id: the
 row is kept, and its component_id is the least id of its component, null if there is none. Repeated
-rows are kept by group(); survivors() keeps one row of them. Tables without rows give none. Other
+rows are kept by group(); survivors() keeps one row of them, and of several texts of one id the one with the
+least hash. A very long text takes memory for the hashes of its shingles. Tables without rows give none. Other
 columns of the input are ignored by group(), and kept by survivors().
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import staged, table
+from shelfmark.llm.common import discard, staged, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Classes of one BK-tree.
@@ -323,25 +324,27 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node) for every node of the links a, b, by alternating stars until nothing changes."""
+    """node, root (the least node) for every node of the links a, b, by alternating stars until all are: each v has one u, and no u is a v."""
     edges = staged(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    while True:
+    while not is_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # Now each v may have several smaller u: all hang on the least of them.
         small = large.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
         hung = large.join(small, F.col("v") == F.col("k"))
-        edges = staged(hung.select(F.col("m").alias("u"), "v").union(hung.where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.countDistinct("v").alias("v")).first()
-        if (now["n"], now["s"]) == mark:
-            break
-        mark = (now["n"], now["s"])
+        before, edges = edges, staged(hung.select(F.col("m").alias("u"), "v").union(hung.where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+        discard(before)
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each v of the distinct links u < v has one u, and no u is a v."""
+    sides = edges.select(F.col("v").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("u", F.lit(0), F.lit(1)))
+    return sides.groupBy("node").agg(F.sum("below").alias("n"), F.max("above").alias("m")).where("n > 1 or (n > 0 and m > 0)").isEmpty()
+
+
 def rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
     """classes (fp, ...) with the root of each one's component."""
     return staged(classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "roots")

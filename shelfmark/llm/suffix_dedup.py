@@ -34,7 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import staged, table
+from shelfmark.llm.common import discard, staged, table
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
@@ -728,7 +728,9 @@ def covered_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     places = staged(by_shard(rows.mapInArrow(first_pass(shards, boxes, bits), ROWS), shards).mapInArrow(find_twins(boxes, bits), ROWS), "places")
     found = delivered(rows, places, boxes).mapInArrow(cut_out(lots, boxes, bits, hot_anchors(places)), ROWS)
-    return staged(by_shard(found, lots).mapInArrow(cover(boxes), ROWS), "spans"), boxes
+    spans = staged(by_shard(found, lots).mapInArrow(cover(boxes), ROWS), "spans")
+    discard(places)
+    return spans, boxes
 
 
 def without(data: bytes, start: np.ndarray, end: np.ndarray) -> bytes:

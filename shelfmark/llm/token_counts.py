@@ -7,7 +7,9 @@ filled by the library for what tier one misses. No pre-token is shuffled; only t
 each partition are, to build tier one.
 
 Null text counts as empty: 0 bytes, 0 tokens. A null doc_id is kept. Repeated rows give repeated rows.
-Tables without rows give none; other columns of the input are ignored.
+Of equally frequent pre-tokens the lesser one enters tier one, which no count depends on. A very long text
+is cut into its pre-tokens whole; one of over 256 characters isn't kept in the cache. Tables without rows
+give none; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ def model_path(name: str = MODEL) -> str:
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens, each without the one blank that the library itself puts before a text."""
+    """The pre-tokens, each without the one blank that the library itself puts before a text; "" is a last blank alone."""
     if "▁" in text:  # the library's own mark for a blank
         text = text.replace("▁", " ")
     words = text.split(" ")
     if "" in words:
-        return [u[1:] if u != " " else " \0" for u in _UNIT.findall(" " + text)] if text else []
+        return [u[1:] for u in _UNIT.findall(" " + text)] if text else []
     return words
 
 
@@ -56,14 +58,14 @@ class Lengths(dict):
 
         super().__init__(frequent)
         self.encode, self.frequent, self.limit = sentencepiece.SentencePieceProcessor(model_file=path).encode, frequent, limit
-        self[" \0"] = 1  # a last blank alone
+        self[""] = 1  # a last blank alone
 
     def __missing__(self, unit: str) -> int:
         n = len(self.encode(unit, num_threads=1))
         if len(self) >= self.limit + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-            self[" \0"] = 1
+            self[""] = 1
         if len(unit) <= 256:
             self[unit] = n
         return n

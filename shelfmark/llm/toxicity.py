@@ -2,12 +2,15 @@
 
 A document's features are the distinct words, pairs of neighbours and pairs with one word between
 them, hashed to 2**BITS coordinates. FTRL-proximal with per-coordinate rates learns from a bounded
-sample of the labelled rows (MAX_TRAIN, by a hash of the id); its L1 term leaves few weights that
-aren't zero, and these alone are broadcast. Every whole text is scored.
+sample of the labelled rows (MAX_TRAIN documents by a hash of the id, of which the first that have
+MAX_FEATURES features in all); its L1 term leaves few weights that aren't zero, and these alone are
+broadcast. Every whole text is scored.
 
 Null or empty text has no feature and gets the intercept's score. Rows without a label, with a null
 label or a null doc_id are never learned from; a document with several labels counts as toxic if one
-says so. Without any label to learn from, every score is 0. Other columns are ignored.
+says so, and of several texts of one id the one whose features come first in order is learned. Rows with
+equal texts have equal scores. Without any label to learn from, every score is below a millionth. A very long
+text has at most 2**BITS different features. Tables without rows give none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import held_out, table
+from shelfmark.llm.common import discard, first_of, held_out, staged, table
 
 BITS = 20
 #: Documented bound of the labelled sample.
 MAX_TRAIN = 8000
+#: Documented bound of the features that the driver receives (4 bytes each).
+MAX_FEATURES = 20_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 10.0, 1.0
 THRESHOLD = 0.3
 #: The weights' proven bound: at most 2**BITS pairs of 12 bytes.
@@ -78,7 +83,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, alpha
     return weight(z, n), -bz / ((beta + bn**0.5) / alpha) if len(rows) else -99.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l1: float = L1) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates with weights, the weights, the intercept; learned from at most max_train labelled documents that aren't held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -90,9 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = texts.join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.id, bytes(r.x)))
-    w, b = ftrl([np.frombuffer(r.x, np.uint32) for r in rows], np.array([float(r.y) for r in rows]))
+    rows = texts.join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "y", "text").mapInArrow(run, "id long, y int, x binary")
+    rows = rows.groupBy(F.xxhash64("id").alias("place"), "id", "y").agg(F.min("x").alias("x")).withColumn("n", F.length("x") / 4)
+    sample = staged(rows, "toxic-sample")
+    rows = first_of(sample, ["place", "id"], "n", max_features).orderBy("id").collect()
+    discard(sample)
+    w, b = ftrl([np.frombuffer(r.x, np.uint32) for r in rows], np.array([float(r.y) for r in rows]), l1=l1)
     at = np.flatnonzero(w)
     return at.astype(np.uint32), w[at].astype(np.float64), float(b)
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from shelfmark.llm import langid, toxicity
+from shelfmark.llm.common import first_of
 
 CRC = lambda i: zlib.crc32(str(i).encode()) % 4
 
@@ -23,8 +24,7 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, label string"), spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
 
 
-def test_toxic_rows_are_found(corpus, docs, empty, spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "L1", 1.0)
+def test_toxic_rows_are_found(corpus, docs, empty, spark):
     texts, labels = corpus
     model = toxicity.fit(texts, labels)
     truth = {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").collect()}
@@ -52,6 +52,33 @@ def test_penalty_leaves_few_weights(corpus):
     texts, labels = corpus
     at, w, _ = toxicity.fit(texts, labels)
     assert 0 < len(at) < 200 and len(at) == len(w)
+    assert len(at) < len(toxicity.fit(texts, labels, l1=0.5)[0])
+
+
+def test_scores_against_brute_force(corpus, docs):
+    """Each score from its text's words, pairs and skipped pairs, one by one."""
+    at, w, b = model = toxicity.fit(*corpus)
+    weight, hashes, mask = dict(zip(at.tolist(), w.tolist(), strict=True)), toxicity.WordHashes(), 2**64 - 1
+    k = [int(x) for x in toxicity._K]
+    for r in toxicity.score(docs, model).join(docs.select("text", docs.doc_id.alias("_d")), toxicity.F.col("_d").eqNullSafe(toxicity.F.col("doc_id"))).collect():
+        u = [h for h in (hashes[x] for x in (r.text or "").lower().split()) if h]
+        found = {(h * k[0] & mask) >> 64 - toxicity.BITS for h in u}
+        for gap in (1, 2):
+            found |= {((((x * k[1]) ^ (y * k[2])) & mask) * k[3] + k[gap] & mask) >> 64 - toxicity.BITS for x, y in zip(u, u[gap:], strict=False)}
+        want = 1 / (1 + np.exp(-(b + sum(weight.get(f, 0.0) for f in found))))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_samples_are_bounded(corpus, spark):
+    """Repeated rows of an id bring one text, and the features of all stay below the bound."""
+    texts, labels = corpus
+    a, b = toxicity.fit(texts, labels), toxicity.fit(texts.union(texts).union(texts.where("doc_id < 9")), labels)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    few = toxicity.fit(texts, labels, max_features=300)
+    assert len(few[0]) < len(a[0]) and toxicity.fit(texts, labels, max_features=0)[2] != 0
+    rows = spark.createDataFrame([(i, i % 3, 10) for i in range(30)], "id long, place int, n int")
+    assert sorted(r.id for r in first_of(rows, ["place", "id"], "n", 45).collect()) == [0, 3, 6, 9]
+    assert first_of(rows, ["place", "id"], "n", 5).count() == 1 and first_of(rows, ["place", "id"], "n", 300).count() == 30
 
 
 def test_languages(spark, docs, empty):
@@ -89,11 +116,31 @@ def test_rare_languages_are_learned(spark):
     assert langid.fit(frame, 1).langs == ("aa", "bb", "cc")
 
 
+def test_probabilities_are_calibrated(spark):
+    """On held out texts of one to forty words, languages that share most syllables: the mean score is the share of right ones."""
+    r = random.Random(12)
+    shared = ["ra", "lo", "ti", "ne", "ka", "mu", "so"]
+    own = {"aa": ["zor", "kla"], "bb": ["ëti", "sén"], "cc": ["shi", "ngth"]}
+    rows = []
+    for i in range(2400):
+        lang = r.choice(list(own))
+        word = lambda: "".join(r.choice(own[lang] if r.random() < 0.12 else shared) for _ in range(r.randint(1, 3)))  # noqa: B023, E731
+        rows.append((i, " ".join(word() for _ in range(r.choice([1, 2, 4, 40]))), lang))
+    truth = {i: lang for i, _, lang in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = [x for x in langid.predict(frame, langid.fit(frame)).collect() if x.held_out]
+    right = np.array([x.lang_pred == truth[x.doc_id] for x in out])
+    score = np.array([x.score for x in out])
+    for low, high in ((0, 0.6), (0.6, 0.85), (0.85, 1.01)):
+        at = (score >= low) & (score < high)
+        assert at.sum() > 20 and abs(right[at].mean() - score[at].mean()) < 0.12
+
+
 def test_letters_of_all_scripts_count():
-    assert all(len(langid.folded(t)) > 2 for t in ("İ", "ß", "字", "𝔘", "я", "ª")) and all(len(langid.folded(t)) <= 2 for t in ("", " ", "12 $", "…!", "\n"))
+    assert all(len(langid.folded(t)) > 2 for t in ("İ", "ß", "字", "𝔘", "я", "ª", "\U00031400")) and all(len(langid.folded(t)) <= 2 for t in ("", " ", "12 $", "…!", "\n"))
 
 
-def test_sums_equal_counts():
+def test_sums_equal_counts(monkeypatch):
     rng = np.random.default_rng(1)
     w = rng.random((2**langid.BITS, 2)).astype(np.float32)
     texts = ["Hello wörld", "", None, "a", "12 $$", "abc " * 50, "ß"]
@@ -101,6 +148,9 @@ def test_sums_equal_counts():
     for t, got, size in zip(texts, s, n, strict=True):
         at, c = langid.counts(t)
         assert np.allclose(got if size else 0, (c[:, None] * w[at]).sum(axis=0), atol=1e-3) and size == c.sum()
+    monkeypatch.setattr(langid, "CHARS", 7)  # long texts in parts
+    parts, again = langid.sums(texts, w)
+    assert np.allclose(np.where(n[:, None] > 0, s, 0), np.where(n[:, None] > 0, parts, 0), atol=1e-3) and np.array_equal(n, again)
 
 
 def test_temperature_recovers_scale():

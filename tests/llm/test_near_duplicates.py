@@ -156,6 +156,20 @@ def connected(pairs, n):
     return groups.values()
 
 
+def test_components_end_with_stars(spark):
+    """Long chains, cycles, many small groups: the least node of each group, however the links lie."""
+    r = random.Random(5)
+    names = r.sample(range(1000), 200)
+    pairs = [(names[i], names[i + 1]) for i in range(80)] + [(names[100 + i], names[100 + (i + 1) % 20]) for i in range(20)] + [(names[150 + 2 * i], names[151 + 2 * i]) for i in range(20)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {x.node: x.root for x in got} == root and len(got) == len(root)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_tree_search_is_exact():
     r = random.Random(9)
     values = list({r.getrandbits(12) for _ in range(500)})

@@ -49,10 +49,7 @@ def tables(spark, tmp_path_factory):
     return str(folder), kind, " ".join(passage)
 
 
-def test_stages(spark, tables, monkeypatch):
-    from shelfmark.llm import toxicity
-
-    monkeypatch.setattr(toxicity, "L1", 1.0)
+def test_stages(spark, tables):
     folder, kind, passage = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.schema

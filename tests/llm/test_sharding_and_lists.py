@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import duckdb
+import xxhash
 
 from shelfmark.llm import sharding, url_lists
 
@@ -19,6 +21,26 @@ def test_every_row_has_a_slot(docs, empty):
     assert sharding.assign(empty, sharding.layout(6)).count() == 0
 
 
+def slow_shard(doc_id, tree):
+    """The shard's number, by a walk from the root that takes the child with the least draw."""
+    while tree.children:
+        def draw(child):
+            h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42) if doc_id is not None else 42
+            u = ((xxhash.xxh64_intdigest(child.name.encode(), h) >> 11) + 0.5) / 2.0**53
+            return -math.log(u) / child.weight
+
+        tree = min(tree.children, key=draw)
+    return tree.number
+
+
+def test_shards_against_brute_force(docs, spark):
+    tree = sharding.layout(40)
+    more = spark.createDataFrame([(i * 7919 - 3000, "t") for i in range(500)] + [(2**63 - 1, None), (-(2**63), "")], "doc_id long, text string")
+    rows = sharding.assign(docs.select("doc_id", "text").union(more), tree).collect()
+    assert len(rows) == docs.count() + 502
+    assert all((r.shard, r.grown_shard) == (slow_shard(r.doc_id, tree), slow_shard(r.doc_id, sharding.grown(tree))) for r in rows)
+
+
 def test_weights_and_movement(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     shard = sharding.Node

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -17,6 +18,17 @@ def test_counts_equal_the_library(docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_blanks_and_marks_against_the_library():
+    import sentencepiece
+
+    sp, lengths = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path()), token_counts.Lengths(token_counts.model_path(), {})
+    assert [lengths.of(t) for t in ("x  \x00", " \x00", "  ", " ", "")] == [len(sp.encode(t)) for t in ("x  \x00", " \x00", "  ", " ", "")]
+    r = random.Random(11)
+    for _ in range(4000):
+        t = "".join(r.choice(["\x00", " ", " ", "\n", "▁", "a", "é", "the", "<s>", "\u200b", "\u3000", "字"]) for _ in range(r.randint(0, 9)))
+        assert lengths.of(t) == len(sp.encode(t)), repr(t)
+
+
 def test_full_cache_starts_again():
     lengths = token_counts.Lengths(token_counts.model_path(), {"frequent": token_counts.Lengths(token_counts.model_path(), {})["frequent"]}, limit=3)
     words = [f"word{i}" for i in range(50)] * 2
