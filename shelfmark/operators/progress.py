@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from shelfmark.functions.scalars import progress_percent, used_percent
 
+#: Rows of one sorted block, and the most blocks.
+BLOCK_ROWS, BLOCKS = 50_000, 256
+
 
 def scan_totals(items: DataFrame) -> DataFrame:
     """One row: file_count, file_size."""
     return items.where("kind = 'File'").agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("file_size"))
 
 
-def running(files: DataFrame, order: str, group: str, by_size: bool = False, size: str = "length") -> DataFrame:
-    """Adds running_count, running_size and percent in order within each group (a scan). The percent is of sizes, or of counts."""
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    out = files.withColumn("running_count", F.count("*").over(upto)).withColumn("running_size", F.sum(size).over(upto))
-    total = F.sum(size).over(whole) if by_size else F.count("*").over(whole)
-    return out.withColumn("percent", progress_percent(F.col("running_size" if by_size else "running_count"), total))
+def ordered_blocks(rows: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
+    """The number of the block of rows that each row's order value lies in; blocks ascend with it.
+
+    They are cut at approximate quantiles, so that a group with a third of all rows is sorted by many tasks.
+    Orders that have no quantiles (texts) make one block.
+    """
+    if not isinstance(rows.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0)
+    shares = [i / BLOCKS for i in range(1, BLOCKS)]
+    n, cuts = rows.agg(F.count(order), F.percentile_approx(order, shares, 10 * BLOCKS)).first()
+    step = max(1, -(-BLOCKS * block_rows // max(1, n)))
+    marks = sorted(set((cuts or [])[step - 1 :: step]))
+    if not marks:
+        return F.lit(0)
+    kind = rows.schema[order].dataType
+    return F.coalesce(F.size(F.filter(F.array(*(F.lit(m).cast(kind) for m in marks)), lambda m: m < F.col(order))), F.lit(0))
+
+
+def running(files: DataFrame, order: str, group: str, by_size: bool = False, size: str = "length", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds running_count, running_size and percent in order within each group (a scan). The percent is of sizes, or of counts.
+
+    Each block of a group is summed up by itself; what stands before it comes from the sums of blocks, of
+    which there are at most BLOCKS for each group. Rows without an order value come first.
+    """
+    rows = files.withColumn("_block", ordered_blocks(files, order, block_rows))
+    sums = rows.groupBy(F.col(group).alias("_group"), F.col("_block").alias("_number")).agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    before = Window.partitionBy("_group").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_group")
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select("_group", "_number", earlier("_n").alias("_n"), earlier("_s").alias("_s"), F.sum("_n").over(whole).alias("_all_n"), F.sum("_s").over(whole).alias("_all_s"))
+    upto = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("running_count", F.count("*").over(upto)).withColumn("running_size", F.sum(size).over(upto))
+    out = out.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_number")))
+    out = out.withColumn("running_count", F.col("running_count") + F.col("_n")).withColumn("running_size", F.col("running_size") + F.col("_s"))
+    percent = progress_percent(F.col("running_size"), F.col("_all_s")) if by_size else progress_percent(F.col("running_count"), F.col("_all_n"))
+    return out.select(*files.columns, "running_count", "running_size", percent.alias("percent"))
 
 
 def capacity(sizes: DataFrame, used: str, maximum: str) -> DataFrame:

@@ -48,15 +48,19 @@ def merged_texts(new: DataFrame, old: DataFrame, key: str = "volume_id", columns
 def exclude(items: DataFrame, excluded: DataFrame, path: str = "path", separator: str = "/") -> DataFrame:
     """items outside the excluded paths and all that lies below them, whatever the case. excluded: a column path.
 
-    A path is cut into its own ancestors, so that the join is on equality.
+    Only the folders' paths, each once, are cut into their own ancestors, so that the join is on equality;
+    items then go by their folder's path and by their own. Both lists are broadcast where they are small
+    at run time. Items without a path stay.
     """
     gone = excluded.select(F.lower("path").alias("_gone")).where("_gone is not null").distinct()
-    parts = F.split(F.lower(F.col(path)), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
+    whole = F.lower(F.col(path))
+    rows = items.withColumn("_whole", whole).withColumn("_folder", F.left(whole, F.length(whole) - F.length(F.substring_index(whole, separator, -1)) - F.lit(len(separator))))
+    parts = F.split(F.col("_folder"), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
-    if len(items.columns) and "item_id" in items.columns:
-        hit = items.select("item_id", F.explode(ups).alias("_up")).join(gone, F.col("_up") == F.col("_gone"), "left_semi").select("item_id").distinct()
-        return items.join(hit, "item_id", "left_anti")
-    raise ValueError("missing columns: item_id")
+    folders = rows.select("_folder").where("_folder <> ''").distinct()
+    hit = folders.select(F.col("_folder").alias("_hit"), F.explode(ups).alias("_up")).join(gone, F.col("_up") == F.col("_gone"), "left_semi").select("_hit").distinct()
+    left = rows.join(hit, F.col("_folder") == F.col("_hit"), "left_anti").join(gone, F.col("_whole") == F.col("_gone"), "left_anti")
+    return left.select(*items.columns)
 
 
 def is_excluded(path: Column, roots: list[str], separator: str = "/") -> Column:

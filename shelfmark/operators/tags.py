@@ -5,10 +5,12 @@ Every change is a function from tables to new tables. Ids of new folders continu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from shelfmark.operators.tree import inside, rollup, subtree, with_ancestors
+from shelfmark.operators.staging import numbered
+from shelfmark.operators.tree import inside, subtree, walked_up, with_ancestors
 from shelfmark.schema import FOLDER_TYPES, LOGICAL_FOLDERS, conform
 
 DISC, GENERAL, CATALOGUE = "Disc", "GeneralFolder", "DiscCatalog"
@@ -51,8 +53,8 @@ def folder_sizes(folders: DataFrame, tags: DataFrame, items: DataFrame, distinct
     """folder_id, size, direct_count, subtree_count: what is tagged in each folder and below. An item that is tagged twice counts twice unless distinct."""
     tree = with_ancestors(folders, "folder_id").select("folder_id", F.concat("ancestors", F.array("folder_id")).alias("ancestors"))
     bag = tags.distinct() if distinct else tags
-    held = bag.join(items.select("item_id", "length"), "item_id").join(tree, "folder_id").withColumnRenamed("folder_id", "own")
-    sums = rollup(held, F.lit(True), node_id="folder_id", parent_id="own")
+    held = bag.join(items.select("item_id", "length"), "item_id").groupBy(F.col("folder_id").alias("own")).agg(F.count("*").alias("n"), F.sum("length").alias("size"))
+    sums = walked_up(held.join(tree, F.col("own") == F.col("folder_id")).drop("folder_id"), "folder_id")
     out = folders.select("folder_id").join(sums, "folder_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     return out.select("folder_id", zero(F.col("subtree_size")).alias("size"), zero(F.col("direct_count")).alias("direct_count"), zero(F.col("subtree_count")).alias("subtree_count"))
@@ -84,8 +86,13 @@ def valid_name(taken: list[str], name: str) -> str:
 
 def numbered_names(rows: DataFrame, group: list[str], name: str, order: list[str]) -> DataFrame:
     """Adds unique_name: the first of equal names in a group keeps it, the next get ' (1)', ' (2)', ... by order. No name may end so already."""
-    n = F.row_number().over(Window.partitionBy(*group, F.lower(name)).orderBy(*order)) - 1
-    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n, F.lit(")"))))
+    key = [*group, "_low"]
+    placed = numbered(rows.withColumn("_low", F.lower(name)), [*key, *order], "_place")
+    first = placed.groupBy(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(key))).agg(F.min("_place").alias("_first"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(key)))
+    n = F.col("_place") - F.col("_first")
+    unique = F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n, F.lit(")")))
+    return placed.join(first, same).select(*rows.columns, unique.alias("unique_name"))
 
 
 def _one(folders: DataFrame, folder_id: int):
@@ -152,7 +159,7 @@ def add_physical_folder(folders: DataFrame, tags: DataFrame, items: DataFrame, i
     tree = tree.join(tree.select("item_id", F.explode("ancestors").alias("_a")).join(archives, F.col("_a") == F.col("_archive"), "left_semi").select("item_id").distinct(), "item_id", "left_anti")
     first = _next_id(folders)
     real = tree.where("kind <> 'File'").select("item_id", F.col("parent_id").alias("physical_parent"), "name", "depth")
-    ranked = real.withColumn("folder_id", (F.row_number().over(Window.orderBy("depth", "item_id")) - 1 + first).cast("bigint"))
+    ranked = numbered(real, ["depth", "item_id"], "place").withColumn("folder_id", (F.col("place") + first).cast("bigint"))
     ids = ranked.select(F.col("item_id").alias("_physical"), F.col("folder_id").alias("_logical"))
     root_type = DISC if as_disc else items.sparkSession.range(1).select(child_type(F.lit(parent.folder_type))).first()[0]
     top = items.where(F.col("item_id") == item_id).select("depth").first()
@@ -187,6 +194,6 @@ def convert_to_general(folders: DataFrame, tags: DataFrame, items: DataFrame, fo
     changed = changed.withColumn("folder_type", F.when(F.col("_below"), GENERAL).otherwise(F.col("folder_type")))
     changed = changed.withColumn("max_size", F.when(F.col("_below"), F.lit(0).cast("bigint")).otherwise(F.col("max_size"))).drop("_below")
     tagged = tags.join(here, "folder_id", "left_semi").join(items.where("kind = 'Folder'").select("item_id", "name"), "item_id")
-    number = F.row_number().over(Window.orderBy("folder_id", "item_id")) - 1 + _next_id(folders)
-    new = conform(tagged.select(number.cast("bigint").alias("folder_id"), F.col("folder_id").alias("parent_id"), "name", F.lit(GENERAL).alias("folder_type"), F.lit(0).cast("bigint").alias("max_size")), LOGICAL_FOLDERS)
+    placed = numbered(tagged, ["folder_id", "item_id"], "place")
+    new = conform(placed.select((F.col("place") + _next_id(folders)).cast("bigint").alias("folder_id"), F.col("folder_id").alias("parent_id"), "name", F.lit(GENERAL).alias("folder_type"), F.lit(0).cast("bigint").alias("max_size")), LOGICAL_FOLDERS)
     return conform(changed, LOGICAL_FOLDERS).unionByName(new), tags.join(tagged.select("item_id", "folder_id").distinct(), ["item_id", "folder_id"], "left_anti")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.operators.staging import staged
+
 #: Doublings that are tried; more means a cycle (or a tree of a depth beyond 2**MAX_DOUBLINGS).
 MAX_DOUBLINGS = 12
 
@@ -25,7 +27,7 @@ def with_ancestors(nodes: DataFrame, node_id: str = "item_id", parent_id: str =
         above = chain.select(F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("up").alias("_up"))
         chain = chain.join(above, F.col("top") == F.col("_id"), "left")
         chain = chain.select("id", F.col("_top").alias("top"), F.concat(F.coalesce("_up", F.array().cast("array<bigint>")), "up").alias("up"))
-        chain = chain.checkpoint() if _can_checkpoint(chain) else chain
+        chain = staged(chain, "ancestors")
     else:
         raise ValueError("the parents form a cycle")
     chains = chain.select(F.col("id").alias("_id"), F.concat("up", F.array(F.col("id").cast("bigint"))).alias("_chain"))
@@ -34,20 +36,25 @@ def with_ancestors(nodes: DataFrame, node_id: str = "item_id", parent_id: str =
     return out.withColumn("depth", F.size("ancestors"))
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    """Lineage is cut where the session names a shared folder for it."""
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def rollup(items: DataFrame, is_leaf: Column, value: str = "length", node_id: str = "item_id", parent_id: str = "parent_id") -> DataFrame:
-    """Per node that holds something: direct_count, direct_size, subtree_count, subtree_size of the leaves below it."""
-    leaves = items.where(is_leaf).select(F.col(parent_id).alias("_parent"), F.col(value).alias("_v"), F.explode("ancestors").alias(node_id))
-    own = F.col("_parent") == F.col(node_id)
-    return leaves.groupBy(node_id).agg(
-        F.count_if(own).alias("direct_count"),
-        F.coalesce(F.sum(F.when(own, F.col("_v"))), F.lit(0)).cast("bigint").alias("direct_size"),
-        F.count("*").alias("subtree_count"),
-        F.coalesce(F.sum("_v"), F.lit(0)).cast("bigint").alias("subtree_size"),
+    """Per node that holds something: direct_count, direct_size, subtree_count, subtree_size of the leaves below it.
+
+    Leaves are summed by parent first (all of one parent have the same ancestors); only these sums walk up.
+    """
+    sums = items.where(is_leaf).groupBy(F.col(parent_id).alias("own"), "ancestors").agg(F.count("*").alias("n"), F.sum(value).alias("size"))
+    return walked_up(sums, node_id)
+
+
+def walked_up(sums: DataFrame, node_id: str) -> DataFrame:
+    """The sums (own, ancestors, n, size) of each folder, added to it and to every folder above it."""
+    steps = sums.select("own", "n", "size", F.explode("ancestors").alias(node_id))
+    own = F.col("own") == F.col(node_id)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return steps.groupBy(node_id).agg(
+        total(F.when(own, F.col("n"))).alias("direct_count"),
+        total(F.when(own, F.col("size"))).alias("direct_size"),
+        total(F.col("n")).alias("subtree_count"),
+        total(F.col("size")).alias("subtree_size"),
     )
 
 

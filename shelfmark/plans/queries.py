@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmark.functions import display, scalars
 from shelfmark.operators import progress, rescan, search, setops, tags, tree
 from shelfmark.operators.search import SearchCriteria
+from shelfmark.operators.staging import numbered
+from shelfmark.schema import LOGICAL_FOLDERS, conform
 from shelfmark.sources import adapters, sinks
 from shelfmark.sources.adapters import CUSTOMER, NATION, ORDER, table
 
@@ -43,7 +45,7 @@ def search_substring(spark, d):
     return search.search(adapters.parts_catalog(spark, d), SearchCriteria("AN")).select("item_id", "name")
 
 
-@register("SELECT p_partkey AS item_id, p_name AS name FROM part WHERE lower(p_name) GLOB '?[a-z]*e*r?n*'")
+@register("SELECT p_partkey AS item_id, p_name AS name FROM part WHERE lower(p_name) GLOB '??*e*r?n*'")
 def search_mask_regex(spark, d):
     return search.search(adapters.parts_catalog(spark, d), SearchCriteria("??*e*r?n*")).select("item_id", "name")
 
@@ -180,14 +182,8 @@ def csv_preorder(spark, d):
     """Regions are named by their key here, so that their order is known."""
     rows = adapters.order_folders(spark, d).where(F.col("item_id") < CUSTOMER)
     keys = tree.preorder_key(rows.withColumn("name", F.when(F.col("kind") == "Volume", F.col("item_id").cast("string")).otherwise(F.col("name"))))
-    place = F.row_number().over(search_window("preorder"))
-    return rows.join(keys, "item_id").select(place.cast("int").alias("position"), "name")
-
-
-def search_window(column: str):
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(column)
+    placed = numbered(rows.select("item_id", "name").join(keys, "item_id"), ["preorder"], "place")
+    return placed.select((F.col("place") + 1).cast("int").alias("position"), "name")
 
 
 # Tags --------------------------------------------------------------------------------------------------
@@ -282,6 +278,44 @@ def folder_from_physical(spark, d):
     return made.select("folder_id", "parent_id", "name", "folder_type")
 
 
+@register(f"WITH {_FOLDERS} SELECT folder_id, parent_id, name, folder_type FROM folders UNION ALL SELECT max(folder_id) + 1, 2, 'New', 'GeneralFolder' FROM folders")
+def folder_add(spark, d):
+    return tags.add_folder(adapters.region_folders(spark, d), "New", 2).select("folder_id", "parent_id", "name", "folder_type")
+
+
+@register(f"WITH {_FOLDERS} SELECT folder_id, CASE folder_id WHEN 2 THEN 'Box' ELSE name END AS name, CAST(CASE folder_id WHEN 2 THEN 4700372992 ELSE 7 END AS BIGINT) AS max_size, CASE folder_id WHEN 2 THEN 'seen' END AS description FROM folders")
+def folder_edit(spark, d):
+    f = conform(adapters.region_folders(spark, d), LOGICAL_FOLDERS).withColumn("max_size", F.lit(7).cast("bigint"))
+    return tags.edit_folder(f, 2, "Box", 4700372992, "seen").select("folder_id", "name", "max_size", "description")
+
+
+@register(f"""WITH {_FOLDERS}, top AS (SELECT max(folder_id) + 1 AS first FROM folders),
+tree AS (SELECT 3 AS item_id, CAST(NULL AS BIGINT) AS up, 'shelf' AS name, 0 AS depth FROM region WHERE r_regionkey = 3
+  UNION ALL SELECT n_nationkey + {NATION}, 3, n_name, 1 FROM nation WHERE n_regionkey = 3
+  UNION ALL SELECT c_custkey + {CUSTOMER}, c_nationkey + {NATION}, c_name, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3),
+ids AS (SELECT *, row_number() OVER (ORDER BY depth, item_id) - 1 + first AS folder_id FROM tree, top),
+files AS (SELECT o_orderkey + {ORDER} AS item_id, i.folder_id FROM orders JOIN ids i ON o_custkey + {CUSTOMER} = i.item_id)
+SELECT CAST(i.folder_id AS BIGINT) AS folder_id, CAST(coalesce(p.folder_id, 1) AS BIGINT) AS parent_id, i.name, 'PhysicalLocation' AS folder_type, (SELECT count(*) FROM files f WHERE f.folder_id = i.folder_id) AS n_files
+FROM ids i LEFT JOIN ids p ON i.up = p.item_id""")
+def folder_from_physical_files(spark, d):
+    items = adapters.orders_catalog(spark, d).withColumn("is_container", F.col("kind") != "File").withColumn("depth", F.size("ancestors"))
+    old = adapters.region_folders(spark, d)
+    made, held = tags.add_physical_folder(old, adapters.customer_tags(spark, d).limit(0), items, 3, 1, as_name="shelf")
+    n = held.groupBy(F.col("folder_id").alias("_folder")).agg(F.count("*").alias("n"))
+    new = made.join(old.select("folder_id"), "folder_id", "left_anti").join(n, F.col("folder_id") == F.col("_folder"), "left")
+    return new.select("folder_id", "parent_id", "name", "folder_type", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_files"))
+
+
+@register(f"""WITH {_FOLDERS}, held AS (SELECT c_custkey + {CUSTOMER} AS item_id, CAST(c_nationkey + {NATION} AS BIGINT) AS folder_id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)
+SELECT folder_id, parent_id, name, CASE WHEN parent_id = 1 THEN 'GeneralFolder' ELSE 'Person' END AS folder_type FROM folders
+UNION ALL SELECT (SELECT max(folder_id) FROM folders) + row_number() OVER (ORDER BY folder_id, item_id), folder_id, name, 'GeneralFolder' FROM held""")
+def folder_to_general(spark, d):
+    f = adapters.region_folders(spark, d).withColumn("folder_type", F.lit("Person"))
+    items = adapters.order_folders(spark, d)
+    held = items.where(F.col("item_id") >= CUSTOMER).select("item_id", F.col("parent_id").alias("folder_id"))
+    return tags.convert_to_general(f, held, items, 1)[0].select("folder_id", "parent_id", "name", "folder_type")
+
+
 # Rescans and sets --------------------------------------------------------------------------------------
 
 
@@ -359,6 +393,23 @@ def merge_keywords(spark, d):
     return p.select(F.col("p_partkey").alias("item_id"), scalars.joined(a, b).alias("keywords"))
 
 
+@register("SELECT p_partkey AS item_id, CASE WHEN p_partkey = 7 THEN 'a;b' ELSE p_brand || ';' || p_type END AS keywords FROM part")
+def edit_item(spark, d):
+    return setops.edit_item(adapters.parts_catalog(spark, d), 7, keywords="a;b").select("item_id", "keywords")
+
+
+@register("SELECT CAST(r_regionkey AS BIGINT) AS volume_id, CASE r_regionkey WHEN 2 THEN 'Box' ELSE r_name END AS name, CASE r_regionkey WHEN 2 THEN 'shelf 3' END AS physical_location FROM region")
+def edit_volume(spark, d):
+    v = adapters.order_folders(spark, d).where("kind = 'Volume'").select("volume_id", "name", F.lit(None).cast("string").alias("physical_location"))
+    return setops.edit_volume(v, 2, name="Box", physical_location="shelf 3")
+
+
+@register("SELECT p_partkey AS item_id, p_name || CAST(p_size AS VARCHAR) AS key FROM part ORDER BY 2, 1 LIMIT 25")
+def comparer_order(spark, d):
+    rows = search.in_comparer_order(adapters.parts_catalog(spark, d), by_crc=False).limit(25)
+    return rows.select("item_id", scalars.name_length_key(F.col("name"), F.col("length")).alias("key"))
+
+
 # Values ------------------------------------------------------------------------------------------------
 
 

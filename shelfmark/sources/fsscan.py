@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from shelfmark.operators.staging import staged
 from shelfmark.operators.tree import with_ancestors
 from shelfmark.schema import ITEMS, VOLUMES, conform
 from shelfmark.sources.archives import archive_entries, as_items
@@ -127,13 +128,13 @@ def scan(spark: SparkSession, root: str, volume_id: int, excluded: tuple[str, ..
     rows = reader.load()
     top = spark.createDataFrame([(root, None, "Volume", name or root, "")], "full_name string, parent_path string, kind string, name string, extension string")
     rows = rows.unionByName(top, allowMissingColumns=True)
+    rows = staged(rows, "scan")  # the tree is walked once
     rows = rows.withColumn("is_container", (F.col("kind") != "File") | (F.lower("extension").isin(*ARCHIVES) & F.lit(options.browse_inside_compressed)))
     rows = rows.withColumns({"item_id": item(F.col("full_name")), "parent_id": F.when(F.col("kind") != "Volume", item(F.col("parent_path"))), "volume_id": F.lit(volume_id).cast("bigint"), "path": F.col("parent_path")})
     items = conform(with_ancestors(rows, is_folder=F.col("kind") != "File"), ITEMS)
     if options.browse_inside_compressed:
         found = items.where("is_container and kind = 'File'").select(F.col("full_name").alias("path"), "item_id", "volume_id", "ancestors", "depth")
-        content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.lower("path").rlike(r"\.(zip|rar)$"))
-        entries = archive_entries(content.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"))
+        entries = archive_entries(found.select("path").repartition(spark.sparkContext.defaultParallelism), content=None)
         errors = entries.where("scan_error is not null").select(F.col("archive").alias("_path"), F.col("scan_error").alias("_error"))
         items = items.join(errors, F.col("full_name") == F.col("_path"), "left").withColumn("scan_error", F.coalesce("_error", "scan_error")).drop("_path", "_error")
         items = items.select(*ITEMS.names).unionByName(conform(as_items(entries, found), ITEMS))

@@ -2,34 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark.functions.scalars import drop_drive
 from shelfmark.operators.tree import preorder_key
 from shelfmark.schema import TABLES, conform, empty
 
+VERSIONS = T.StructType([T.StructField("number", T.LongType()), T.StructField("version", T.StringType())])
+
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet; items lie by volume, so that a search in few volumes reads few files."""
-    for name, schema in TABLES.items():
-        if name in tables:
-            writer = conform(tables[name], schema).write.mode("overwrite")
-            (writer.partitionBy("volume_id") if name == "items" else writer).parquet(f"{folder}/{name}")
+    """Each table as Parquet; items lie by volume, so that a search in few volumes reads few files.
+
+    The tables go to a new version beside those that are there, and only when all are written is it made
+    the current one: a save that fails changes nothing, and tables may be saved to where they were opened.
+    Tables that aren't given are taken over.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number, _ = current(spark, folder)
+    version = f"{number + 1}-{uuid.uuid4().hex}"
+    for name, df in (open_database(spark, folder) | tables).items():
+        writer = conform(df, TABLES[name]).write
+        (writer.partitionBy("volume_id") if name == "items" else writer).parquet(f"{folder}/{version}/{name}")
+    spark.createDataFrame([(number + 1, version)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+
+
+def current(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """Number and folder of the current version; tables without versions lie in the folder itself."""
+    try:
+        row = spark.read.schema(VERSIONS).parquet(f"{folder}/versions").orderBy(F.desc("number"), "version").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return (row.number, f"{folder}/{row.version}") if row else (0, folder)
 
 
 def open_database(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The four tables; columns that older files lack are null, and tables that they lack are empty."""
-    out = {}
+    out, place = {}, current(spark, folder)[1]
     for name, schema in TABLES.items():
         try:
-            out[name] = conform(spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}"), schema)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            out[name] = conform(spark.read.option("mergeSchema", "true").parquet(f"{place}/{name}"), schema)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             out[name] = empty(spark, schema)
     return out
 
 
+def load_csv(spark: SparkSession, path: str, table: str, names: dict[str, str] | None = None) -> DataFrame:
+    """A table of the catalogue from CSV with a header (as export_csv and older programs write it).
+
+    names leads from a column of the file to one of the table, whatever the case; columns of the table's own
+    name are taken as they are, others are left out, and missing ones are null. A value that isn't of its
+    column's type is null.
+    """
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    known = {k.lower(): v for k, v in (names or {}).items()}
+    kinds, chosen = {f.name: f.dataType for f in TABLES[table]}, {}
+    for c in rows.columns:
+        name = known.get(c.lower(), c.lower())
+        if name in kinds and not isinstance(kinds[name], T.ArrayType):
+            chosen[name] = F.col(f"`{c}`").try_cast(kinds[name]).alias(name)
+    return conform(rows.select(*chosen.values()), TABLES[table])
+
+
 def quoted(c: Column) -> Column:
     """A CSV field: quoted if it holds a comma, a quote or a line end; null is ''."""
     s = F.coalesce(c.cast("string"), F.lit(""))

@@ -230,3 +230,125 @@ def test_arrivals(spark, tmp_path):
         rows.write.mode("append").parquet(drop)
         stream.arrivals(spark, drop, rows.schema, lambda df, n: seen.append(df.count()), str(tmp_path / "state")).awaitTermination()
     assert seen == [2, 2]
+
+
+def vint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def rar5(kind: int, body: bytes, flags: int = 0, data: bytes | int = b"") -> bytes:
+    """A header of a RAR 5 archive, with data behind it (or the size of data that a hole stands for)."""
+    size = data if isinstance(data, int) else len(data)
+    head = vint(kind) + vint(flags | (2 if size else 0)) + (vint(size) if size else b"") + body
+    return struct.pack("<I", 0) + vint(len(head)) + head + (b"" if isinstance(data, int) else data)
+
+
+def rar5_file(name: str, data: bytes | int, flags: int = 0, folder: bool = False) -> bytes:
+    size = data if isinstance(data, int) else len(data)
+    own = vint(2 | 4 | folder) + vint(size) + vint(0x20) + struct.pack("<II", 1_700_000_000, 0 if isinstance(data, int) else zlib.crc32(data)) + vint(0) + vint(1) + vint(len(name.encode())) + name.encode()
+    return rar5(2, own, flags, data)
+
+
+def test_archives_of_a_new_kind_and_of_any_size(spark, tmp_path):
+    """RAR 5 by its headers; a file above 2 GB beside small archives, and one inside an archive, are not read."""
+    big = 3 * 2**30
+    start = archives.RAR5_MARK + rar5(1, vint(0)) + rar5_file("dir/ünï.txt", b"hello", 0x10) + rar5_file("dir", b"", 0, True)
+    with open(tmp_path / "a.rar", "wb") as f:
+        f.write(start + rar5_file("film.bin", big, 0x08))
+        f.seek(big, os.SEEK_CUR)
+        f.write(rar5_file("last", b"1") + rar5(5, vint(0)))
+    with open(tmp_path / "film.mkv", "wb") as f:
+        f.truncate(big)
+    got = fsscan.scan(spark, str(tmp_path), 9, options=fsscan.ScanOptions(browse_inside_compressed=True))
+    rows = {r.name: r for r in got["items"].collect()}
+    assert {"ünï.txt", "dir", "film.bin", "last", "film.mkv", "a.rar"} <= set(rows) and all(r.scan_error is None for r in rows.values())
+    assert rows["ünï.txt"].crc == zlib.crc32(b"hello") and rows["film.bin"].length == big and rows["dir"].kind == "Folder"
+    assert rows["ünï.txt"].last_write_time.year == 2023 and rows["last"].parent_id == rows["a.rar"].item_id
+    flags = {e["file_name"]: (e["continued_from_previous"], e["continued_on_next"]) for e in archives.entries_of(open(tmp_path / "a.rar", "rb"))}
+    assert flags["film.bin"] == (True, False) and flags["dir/ünï.txt"] == (False, True)
+
+
+def test_save_where_it_was_opened(spark, items, folders, tmp_path):
+    """Tables that are read while they are replaced; a save that fails changes nothing."""
+    place = str(tmp_path / "db")
+    sinks.save({"items": items, "logical_folders": folders}, place)
+    db = sinks.open_database(spark, place)
+    sinks.save({"items": setops.edit_item(db["items"], 4, keywords="new")}, place)
+    again = sinks.open_database(spark, place)
+    assert again["items"].where("keywords = 'new'").count() == 1 and again["items"].count() == 8 and again["logical_folders"].count() == 6
+    broken = again["items"].withColumn("length", F.raise_error(F.lit("no")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        sinks.save({"items": broken}, place)
+    assert sinks.open_database(spark, place)["items"].count() == 8
+
+
+def test_csv_of_older_programs(spark, items, tmp_path):
+    (tmp_path / "old.csv").write_text('ID,Title,Bytes,Keywords,Other\n1,"a, b",10,k,z\n2,c,many,,\n')
+    rows = sinks.load_csv(spark, str(tmp_path / "old.csv"), "items", {"id": "item_id", "title": "name", "bytes": "length"})
+    assert rows.schema == ITEMS
+    assert [(r.item_id, r.name, r.length, r.keywords) for r in rows.orderBy("item_id").collect()] == [(1, "a, b", 10, "k"), (2, "c", None, None)]
+
+
+def test_running_totals_over_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.choice(["hot", "hot", "hot", "cold"]), r.randrange(50)) for i in range(700)] + [(None, "hot", 3)]
+    frame = spark.createDataFrame(rows, "id long, scan string, length long")
+    for block in (20, 10**6):
+        got = {(x.id, x.scan): (x.running_count, x.running_size) for x in progress.running(frame, "id", "scan", block_rows=block).collect()}
+        sums: dict = {}
+        for i, scan, n in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
+            c, s = sums.get(scan, (0, 0))
+            sums[scan] = (c + 1, s + n)
+            assert got[i, scan] == sums[scan]
+    text = spark.createDataFrame([("a", "s", 1), ("b", "s", 2)], "id string, scan string, length long")
+    assert [x.percent for x in progress.running(text, "id", "scan").orderBy("id").collect()] == [50, 100]
+
+
+def test_numbers_without_gaps(spark):
+    from shelfmark.operators.staging import numbered
+
+    rows = spark.range(500).withColumn("k", F.col("id") % 7)
+    got = {r.id: r.place for r in numbered(rows, ["k", "id"], "place").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(500), key=lambda i: (i % 7, i)))}
+    assert numbered(rows.limit(0), ["id"], "place").count() == 0
+
+
+def test_values_of_editing_and_order(spark, items):
+    from shelfmark.operators import search
+
+    volumes = spark.createDataFrame([(1, "V", None), (2, "W", "k")], "volume_id long, name string, keywords string")
+    assert [tuple(r) for r in setops.edit_volume(volumes, 2, name="X").orderBy("volume_id").collect()] == [(1, "V", None), (2, "X", "k")]
+    with pytest.raises(ValueError):
+        setops.edit_volume(volumes, 1, serial_number="1")
+    files = items.withColumn("crc", F.lit(9) - F.col("item_id"))
+    assert [r.item_id for r in search.in_comparer_order(files, by_crc=True).collect()] == [7, 6, 5, 4]
+
+
+def test_listener_and_windows(spark, tmp_path):
+    """A stream by windows of a minute: the totals, and what the listener is told."""
+    import time
+
+    rows = [("2024-01-01 00:00:10", "f", 3), ("2024-01-01 00:00:50", "f", 4), ("2024-01-01 00:01:10", "f", 5), ("2024-01-01 00:00:20", "g", 1)]
+    files = spark.createDataFrame(rows, "ts string, kind string, length long").withColumn("ts", F.to_timestamp("ts"))
+    files.write.parquet(str(tmp_path / "in"))
+    moved, ended = [], []
+    listener = stream.ScanListener(moved.append, ended.append)
+    spark.streams.addListener(listener)
+    try:
+        totals = stream.windowed_totals(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), "ts", "1 minute", "5 minutes", "kind")
+        query = totals.writeStream.format("memory").queryName("window_totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    got = sorted((r.window.start.minute, r.kind, r.file_count, r.file_size) for r in spark.table("window_totals").collect())
+    assert got == [(0, "f", 2, 7), (0, "g", 1, 1), (1, "f", 1, 5)]
+    assert sum(moved) == 4 and ended == [None]
