@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from shelfmark.functions.scalars import progress_percent, used_percent
 
-#: Rows of one sorted block, and the most blocks.
-BLOCK_ROWS, BLOCKS = 50_000, 256
+#: Rows of one sorted block, the most blocks, and how many of their marks are looked at together.
+BLOCK_ROWS, BLOCKS, MARKS = 1_000_000, 4096, 64
 
 
 def scan_totals(items: DataFrame) -> DataFrame:
@@ -16,22 +16,26 @@ def scan_totals(items: DataFrame) -> DataFrame:
     return items.where("kind = 'File'").agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("file_size"))
 
 
-def ordered_blocks(rows: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """The number of the block of rows that each row's order value lies in; blocks ascend with it.
+def ordered_blocks(rows: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column | None:
+    """The number of the block of rows that each row's order value lies in; blocks ascend with it. None if one is enough.
 
     They are cut at approximate quantiles, so that a group with a third of all rows is sorted by many tasks.
     Orders that have no quantiles (texts) make one block.
     """
-    if not isinstance(rows.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.lit(0)
+    kind = rows.schema[order].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
     shares = [i / BLOCKS for i in range(1, BLOCKS)]
     n, cuts = rows.agg(F.count(order), F.percentile_approx(order, shares, 10 * BLOCKS)).first()
     step = max(1, -(-BLOCKS * block_rows // max(1, n)))
     marks = sorted(set((cuts or [])[step - 1 :: step]))
     if not marks:
-        return F.lit(0)
-    kind = rows.schema[order].dataType
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(m).cast(kind) for m in marks)), lambda m: m < F.col(order))), F.lit(0))
+        return None
+    array = lambda found: F.array(*(F.lit(m).cast(kind) for m in found))
+    below = lambda found: F.size(F.filter(found, lambda m: m < F.col(order)))
+    lots = [marks[i : i + MARKS] for i in range(0, len(marks), MARKS)]
+    lot = below(array([x[-1] for x in lots[:-1]]))
+    return F.when(F.col(order).isNull(), 0).otherwise(lot * MARKS + below(F.get(F.array(*map(array, lots)), lot)))
 
 
 def running(files: DataFrame, order: str, group: str, by_size: bool = False, size: str = "length", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -40,7 +44,13 @@ def running(files: DataFrame, order: str, group: str, by_size: bool = False, siz
     Each block of a group is summed up by itself; what stands before it comes from the sums of blocks, of
     which there are at most BLOCKS for each group. Rows without an order value come first.
     """
-    rows = files.withColumn("_block", ordered_blocks(files, order, block_rows))
+    block = ordered_blocks(files, order, block_rows)
+    if block is None:
+        upto, whole = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(group)
+        out = files.withColumn("running_count", F.count("*").over(upto)).withColumn("running_size", F.sum(size).over(upto))
+        total = F.sum(size).over(whole) if by_size else F.count("*").over(whole)
+        return out.withColumn("percent", progress_percent(F.col("running_size" if by_size else "running_count"), total))
+    rows = files.withColumn("_block", block)
     sums = rows.groupBy(F.col(group).alias("_group"), F.col("_block").alias("_number")).agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
     before = Window.partitionBy("_group").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_group")

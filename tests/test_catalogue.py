@@ -298,7 +298,7 @@ def test_running_totals_over_blocks(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["hot", "hot", "hot", "cold"]), r.randrange(50)) for i in range(700)] + [(None, "hot", 3)]
     frame = spark.createDataFrame(rows, "id long, scan string, length long")
-    for block in (20, 10**6):
+    for block in (1, 20, 10**6):
         got = {(x.id, x.scan): (x.running_count, x.running_size) for x in progress.running(frame, "id", "scan", block_rows=block).collect()}
         sums: dict = {}
         for i, scan, n in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
