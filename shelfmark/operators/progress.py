@@ -25,12 +25,10 @@ def ordered_blocks(rows: DataFrame, order: str, block_rows: int = BLOCK_ROWS) ->
     kind = rows.schema[order].dataType
     if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return None
-    shares = [i / BLOCKS for i in range(1, BLOCKS)]
-    n, cuts = rows.agg(F.count(order), F.percentile_approx(order, shares, 10 * BLOCKS)).first()
-    step = max(1, -(-BLOCKS * block_rows // max(1, n)))
-    marks = sorted(set((cuts or [])[step - 1 :: step]))
-    if not marks:
+    n = min(BLOCKS, -(-rows.agg(F.count(order)).first()[0] // block_rows))
+    if n < 2:
         return None
+    marks = sorted(set(rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)).first()[0]))
     array = lambda found: F.array(*(F.lit(m).cast(kind) for m in found))
     below = lambda found: F.size(F.filter(found, lambda m: m < F.col(order)))
     lots = [marks[i : i + MARKS] for i in range(0, len(marks), MARKS)]
