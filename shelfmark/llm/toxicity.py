@@ -1,7 +1,8 @@
 """Operator 9: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the distinct words, pairs of neighbours and pairs with one word between
-them, hashed to 2**BITS coordinates. FTRL-proximal with per-coordinate rates learns from a bounded
+A document's features are the distinct words, pairs of neighbours, pairs with one word between them,
+and words cut to their first STEM characters, hashed to 2**BITS coordinates. The cut words let forms of
+a word that were never learned count for their stem, in languages that inflect or compound. FTRL-proximal with per-coordinate rates learns from a bounded
 sample of the labelled rows (MAX_TRAIN documents by a hash of the id, of which the first that have
 MAX_FEATURES features in all); its L1 term leaves few weights that aren't zero, and these alone are
 broadcast. Every whole text is scored.
@@ -36,13 +37,21 @@ _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _SHIFT = np.uint64(64 - BITS)
 #: Words that a worker keeps the hashes of.
 CACHE = 400_000
+#: Characters of a word's stem; words that aren't longer have none of their own.
+STEM = 4
 
 
 class WordHashes(dict):
-    """64-bit hashes of words without the marks around them; 0 for marks alone."""
+    """64-bit hashes of words without the marks around them; 0 for marks alone. With a stem's length, of the longer words' stems."""
+
+    def __init__(self, stem: int = 0):
+        super().__init__()
+        self.stem = stem
 
     def __missing__(self, word: str) -> int:
         bare = word.strip("\"'`.,;:!?()[]{}<>*_-#$%&|/\\~^+=@¿¡«»“”‘’…")
+        if self.stem:
+            bare = bare[: self.stem] if len(bare) > self.stem else ""
         h = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")) >> 1 if bare else 0
         if len(self) >= CACHE:
             self.clear()
@@ -51,12 +60,14 @@ class WordHashes(dict):
         return h
 
 
-def features(text: str | None, hashes: WordHashes) -> np.ndarray:
+def features(text: str | None, hashes: WordHashes, stems: WordHashes) -> np.ndarray:
     """Coordinates of the text's features, repeats included."""
     words = text.lower().split() if text else []
     u = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     u = u[u != 0]
-    parts = [u * _K[0]]
+    different = set(words)
+    s = np.fromiter(map(stems.__getitem__, different), np.uint64, len(different))
+    parts = [u * _K[0], s[s != 0] * _K[1] + _K[0]]
     for gap in (1, 2):
         if len(u) > gap:
             parts.append(((u[:-gap] * _K[1]) ^ (u[gap:] * _K[2])) * _K[3] + _K[gap])
@@ -89,9 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     known = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, stems = WordHashes(), WordHashes(STEM)
         for batch in batches:
-            found = [np.unique(features(t.as_py(), hashes)).tobytes() for t in batch.column("text")]
+            found = [np.unique(features(t.as_py(), hashes, stems)).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
@@ -114,10 +125,10 @@ class Scorer:
     def __init__(self, at: bytes, w: bytes, b: float):
         self.dense, self.b = np.zeros(2**BITS), b
         self.dense[np.frombuffer(at, np.uint32)] = np.frombuffer(w, np.float64)
-        self.hashes = _WORKER.setdefault("hashes", WordHashes())
+        self.hashes, self.stems = _WORKER.setdefault("hashes", WordHashes()), _WORKER.setdefault("stems", WordHashes(STEM))
 
     def __call__(self, text: str | None) -> float:
-        x = features(text, self.hashes)
+        x = features(text, self.hashes, self.stems)
         x = np.unique(x[self.dense[x] != 0])
         return float(1 / (1 + np.exp(-np.clip(self.dense[x].sum() + self.b, -35, 35))))
 

@@ -56,19 +56,38 @@ def test_penalty_leaves_few_weights(corpus):
 
 
 def test_scores_against_brute_force(corpus, docs):
-    """Each score from its text's words, pairs and skipped pairs, one by one."""
+    """Each score from its text's words, pairs, skipped pairs and stems, one by one."""
     at, w, b = model = toxicity.fit(*corpus)
     weight, hashes, mask = dict(zip(at.tolist(), w.tolist(), strict=True)), toxicity.WordHashes(), 2**64 - 1
+    stems = toxicity.WordHashes(toxicity.STEM)
     k = [int(x) for x in toxicity._K]
     for r in toxicity.score(docs, model).join(docs.select("text", docs.doc_id.alias("_d")), toxicity.F.col("_d").eqNullSafe(toxicity.F.col("doc_id"))).collect():
         u = [h for h in (hashes[x] for x in (r.text or "").lower().split()) if h]
         found = {(h * k[0] & mask) >> 64 - toxicity.BITS for h in u}
         for gap in (1, 2):
             found |= {((((x * k[1]) ^ (y * k[2])) & mask) * k[3] + k[gap] & mask) >> 64 - toxicity.BITS for x, y in zip(u, u[gap:], strict=False)}
+        found |= {(h * k[1] + k[0] & mask) >> 64 - toxicity.BITS for h in (stems[x] for x in (r.text or "").lower().split()) if h}
         want = 1 / (1 + np.exp(-(b + sum(weight.get(f, 0.0) for f in found))))
         assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3)
 
 
+def test_forms_of_a_word_that_were_never_learned(spark):
+    """A toxic stem with endings that each occur once; short words have no stem of their own."""
+    r = random.Random(5)
+    ending = lambda: "".join(r.choice("aeioulnrst") for _ in range(6))
+    rows, labels = [], []
+    for i in range(600):
+        words, toxic = [r.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(20)], i % 3 == 0
+        words[3], words[9] = (("Widr" if toxic else "gute") + ending() for _ in range(2))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    texts, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [x for x in toxicity.score(texts, toxicity.fit(texts, known)).collect() if x.held_out]
+    assert np.mean([x.predicted == (x.doc_id % 3 == 0) for x in held]) > 0.95
+    stems = toxicity.WordHashes(4)
+    assert stems["widrig."] == stems["(widrum"] != 0 and stems["widr"] == stems["..."] == stems["eps"] == 0
+
+
 def test_samples_are_bounded(corpus, spark):
     """Repeated rows of an id bring one text, and the features of all stay below the bound."""
     texts, labels = corpus
