@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.scalars import joined
+from shelfmark.functions.scalars import joined, options_text
 from shelfmark.operators.setops import remove_volume
 
 
@@ -71,6 +71,28 @@ def is_excluded(path: Column, roots: list[str], separator: str = "/") -> Column:
     return found
 
 
+def checked(paths: DataFrame, clicks: DataFrame, path: str = "path", separator: str = "/") -> DataFrame:
+    """paths with a column checked: a tree's nodes after clicks (columns path, checked, at: their order).
+
+    A click holds for its node and all below, until a later one on the way down to a node; nodes that none
+    holds for are checked. Of two clicks at one time on one way the deeper counts. What isn't checked is left out
+    of a scan. Whatever the case; rows without a path are checked. Each different path is cut once.
+    """
+    found = clicks.where("path is not null and checked is not null").groupBy(F.lower("path").alias("_clicked")).agg(F.max_by("checked", F.struct("at", ~F.col("checked"))).alias("_state"), F.max("at").alias("_at"))
+    parts = F.split(F.col("_low"), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
+    different = paths.select(F.lower(path).alias("_low")).where("_low is not null").distinct()
+    held = different.select("_low", F.explode(ups).alias("_up")).join(found, F.col("_up") == F.col("_clicked"))
+    states = held.groupBy(F.col("_low").alias("_node")).agg(F.max_by("_state", F.struct("_at", F.length("_up"))).alias("_state"))
+    return paths.join(states, F.lower(path) == F.col("_node"), "left").select(*paths.columns, F.coalesce("_state", F.lit(True)).alias("checked"))
+
+
+def discs_to_replace(volumes: DataFrame) -> DataFrame:
+    """What a list of discs to scan again shows: volume_id, name, from_drive, options, scanned; in order of names, then ids."""
+    options = options_text(F.col("scanned_crc"), F.col("scanned_file_version"), F.col("scanned_zip"))
+    return volumes.select("volume_id", "name", "from_drive", options.alias("options"), "scanned").orderBy(F.lower("name"), "volume_id")
+
+
 def replace_volume(tables: dict[str, DataFrame], scanned: dict[str, DataFrame], old_volume_id: int | None, folder_ids: tuple[int, ...] = ()) -> dict[str, DataFrame]:
     """The catalogue with a scanned volume (tables items and volumes, with rel_path known by names) in place of the old one, if any.
 

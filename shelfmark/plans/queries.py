@@ -328,6 +328,24 @@ def exclude_paths(spark, d):
     return rescan.exclude(files, gone).select("item_id")
 
 
+@register("""WITH paths AS (SELECT c_custkey AS k, r_regionkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT k AS customer, CASE WHEN n_nationkey IN (5, 6) THEN true WHEN n_nationkey = 7 THEN false ELSE r_regionkey NOT IN (0, 1) END AS checked FROM paths""")
+def checked_tree(spark, d):
+    folders = adapters.order_folders(spark, d)
+    nodes = tree.paths(folders, "/").where(F.col("item_id") >= CUSTOMER).select((F.col("item_id") - CUSTOMER).alias("customer"), F.col("path_and_name").alias("path"))
+    at = {0: (False, 2), 1: (False, 1), NATION + 5: (True, 3), NATION + 6: (True, 3), NATION + 7: (False, 4), NATION + 10: (True, 1)}
+    clicks = spark.createDataFrame([(k, *v) for k, v in at.items()], "_node long, checked boolean, at int")
+    above = tree.paths(folders.where(F.col("item_id") < CUSTOMER), "/")
+    return rescan.checked(nodes, above.join(clicks, F.col("item_id") == F.col("_node")).select(F.upper("path_and_name").alias("path"), "checked", "at")).select("customer", "checked")
+
+
+@register("SELECT c_custkey AS volume_id, c_name AS name, c_mktsegment AS from_drive, coalesce(nullif(concat_ws(', ', CASE WHEN c_custkey % 2 = 0 THEN 'CRC' END, CASE WHEN c_custkey % 3 = 0 THEN 'File versions' END, CASE WHEN c_custkey % 5 = 0 THEN 'Browsed compressed files' END), ''), '(none)') AS options FROM customer")
+def discs_to_replace(spark, d):
+    k = F.col("c_custkey")
+    v = table(spark, d, "customer").select(k.alias("volume_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("from_drive"), (k % 2 == 0).alias("scanned_crc"), (k % 3 == 0).alias("scanned_file_version"), (k % 5 == 0).alias("scanned_zip"), F.lit(None).cast("timestamp").alias("scanned"))
+    return rescan.discs_to_replace(v).drop("scanned")
+
+
 _OLD = "SELECT doc_id, source || '/' || CAST(n_chars AS VARCHAR) AS place, lang FROM documents WHERE doc_id % 3 <> 0"
 
 

@@ -16,8 +16,10 @@ from shelfmark.operators.staging import staged
 from shelfmark.operators.tree import with_ancestors
 from shelfmark.schema import ITEMS, VOLUMES, conform
 from shelfmark.sources.archives import archive_entries, as_items
+from shelfmark.sources.drives import drive_facts
+from shelfmark.sources.versions import TEXTS, file_version
 
-SCAN = "full_name string, parent_path string, kind string, name string, extension string, length bigint, attributes int, creation_time timestamp_ntz, last_access_time timestamp_ntz, last_write_time timestamp_ntz, is_read_only boolean, crc bigint, scan_error string"
+SCAN = "full_name string, parent_path string, kind string, name string, extension string, length bigint, attributes int, creation_time timestamp_ntz, last_access_time timestamp_ntz, last_write_time timestamp_ntz, is_read_only boolean, crc bigint, comments string, company_name string, legal_copyright string, product_name string, file_description string, file_version string, scan_error string"
 ARCHIVES = (".zip", ".rar")
 
 
@@ -49,9 +51,9 @@ def file_crc(path: str) -> int:
     return crc
 
 
-def one(path: str, kind: str, crc: bool) -> tuple:
-    """A row; what can't be read is told in scan_error. A checksum that couldn't be made is null."""
-    s, error, check = os.stat(path), None, None
+def one(path: str, kind: str, crc: bool, versions: bool = False) -> tuple:
+    """A row; what can't be read is told in scan_error. A checksum or version text that couldn't be made is null."""
+    s, error, check, texts = os.stat(path), None, None, {}
     name = os.path.basename(path)
     read_only = not os.access(path, os.W_OK)
     if crc and kind == "File":
@@ -59,12 +61,17 @@ def one(path: str, kind: str, crc: bool) -> tuple:
             check = file_crc(path)
         except OSError as e:
             error = str(e)
+    if versions and kind == "File":
+        try:
+            texts = file_version(path)
+        except OSError as e:
+            error = str(e)
     at = name.rfind(".")
     attributes = (16 if kind == "Folder" else 0) | (1 if read_only else 0) | (2 if name.startswith(".") else 0)
-    return (path, os.path.dirname(path), kind, name, name[at:] if at >= 0 and kind == "File" else "", s.st_size if kind == "File" else None, attributes, _time(s.st_ctime), _time(s.st_atime), _time(s.st_mtime), read_only, check, error)
+    return (path, os.path.dirname(path), kind, name, name[at:] if at >= 0 and kind == "File" else "", s.st_size if kind == "File" else None, attributes, _time(s.st_ctime), _time(s.st_atime), _time(s.st_mtime), read_only, check, *(texts.get(c) for c in TEXTS.values()), error)
 
 
-def walk(path: str, recursive: bool, excluded: frozenset[str], crc: bool) -> Iterator[tuple]:
+def walk(path: str, recursive: bool, excluded: frozenset[str], crc: bool, versions: bool = False) -> Iterator[tuple]:
     """A directory's own files, or a directory with all below. An excluded folder takes its whole tree along."""
     todo = [path]
     while todo:
@@ -86,13 +93,14 @@ def walk(path: str, recursive: bool, excluded: frozenset[str], crc: bool) -> Ite
                 if recursive:
                     todo.append(e.path)
             elif e.is_file(follow_symlinks=False):
-                yield one(e.path, "File", crc)
+                yield one(e.path, "File", crc, versions)
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.crc = str(options.get("computecrc", options.get("computeCrc", "false"))).lower() == "true"
+        self.versions = str(options.get("readversions", options.get("readVersions", "false"))).lower() == "true"
         self.excluded = frozenset(x.lower() for x in options.get("excluded", "").split("|") if x)
 
     def partitions(self) -> list[InputPartition]:
@@ -102,11 +110,11 @@ class Reader(DataSourceReader):
         return [Part(self.root, False), *(Part(t, True) for t in tops)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        return walk(partition.path, partition.recursive, self.excluded, self.crc)
+        return walk(partition.path, partition.recursive, self.excluded, self.crc, self.versions)
 
 
 class FileSystemScan(DataSource):
-    """spark.read.format("fsscan").option("path", root).option("computeCrc", "true").option("excluded", "a|b")"""
+    """spark.read.format("fsscan").option("path", root).option("computeCrc", "true").option("readVersions", "true").option("excluded", "a|b")"""
 
     @classmethod
     def name(cls) -> str:
@@ -123,7 +131,7 @@ def scan(spark: SparkSession, root: str, volume_id: int, excluded: tuple[str, ..
     """items and volumes of a directory tree. Ids come from a hash of volume and path, so a scan gives the same ids again."""
     spark.dataSource.register(FileSystemScan)
     root = os.path.abspath(root)
-    reader = spark.read.format("fsscan").option("path", root).option("excluded", "|".join(excluded)).option("computeCrc", str(options.compute_crc).lower())
+    reader = spark.read.format("fsscan").option("path", root).option("excluded", "|".join(excluded)).option("computeCrc", str(options.compute_crc).lower()).option("readVersions", str(options.read_file_info).lower())
     item = lambda path: F.xxhash64(F.lit(volume_id), path)
     rows = reader.load()
     top = spark.createDataFrame([(root, None, "Volume", name or root, "")], "full_name string, parent_path string, kind string, name string, extension string")
@@ -138,8 +146,19 @@ def scan(spark: SparkSession, root: str, volume_id: int, excluded: tuple[str, ..
         errors = entries.where("scan_error is not null").select(F.col("archive").alias("_path"), F.col("scan_error").alias("_error"))
         items = items.join(errors, F.col("full_name") == F.col("_path"), "left").withColumn("scan_error", F.coalesce("_error", "scan_error")).drop("_path", "_error")
         items = items.select(*ITEMS.names).unionByName(conform(as_items(entries, found), ITEMS))
-    usage = os.statvfs(root)
-    volume = (volume_id, name or root, "", "Fixed", usage.f_bavail * usage.f_frsize, usage.f_blocks * usage.f_frsize, "", str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None), options.compute_crc, options.browse_inside_compressed, options.read_file_info, None, None, root, None, None)
+    facts = drive_facts(root)
+    volume = {
+        "volume_id": volume_id,
+        "name": name or root,
+        **{k: facts[k] for k in ("drive_format", "drive_type", "volume_label", "serial_number", "total_size", "total_free_space")},
+        "guid": str(uuid.uuid4()),
+        "scanned": datetime.now(timezone.utc).replace(tzinfo=None),
+        "scanned_crc": options.compute_crc,
+        "scanned_zip": options.browse_inside_compressed,
+        "scanned_file_version": options.read_file_info,
+        "from_drive": root,
+    }
+    volume = tuple(volume.get(c) for c in VOLUMES.names)
     return {"items": items, "volumes": spark.createDataFrame([volume], VOLUMES)}
 
 

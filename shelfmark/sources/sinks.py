@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import shutil
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -108,6 +113,50 @@ def read_content(spark: SparkSession, root: str, guid: str) -> DataFrame:
     return spark.read.parquet(root).where(F.col("guid") == guid).select("path", "content")
 
 
+def _each_file(files: DataFrame, target: Callable[[str], str | None], copy: Callable[[str, str], None]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                out, error = target(path) if path else None, None
+                if out:
+                    try:
+                        copy(path, f"{out}.part-{uuid.uuid4().hex}")
+                    except OSError as e:
+                        out, error = None, str(e)
+                rows.append({"path": path, "written": out, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("written", pa.string()), ("error", pa.string())]))
+
+    return files.select("path").mapInArrow(run, "path string, written string, error string")
+
+
+def _copied(opened: Callable, closed: Callable, source: str, part: str) -> None:
+    """A stream from file to file. The part gets its name when it is whole, so a task that runs again does no harm."""
+    try:
+        with opened(source, "rb") as a, closed(part, "wb") as b:
+            shutil.copyfileobj(a, b, 1 << 20)
+        os.replace(part, part[: part.rindex(".part-")])
+    except BaseException:
+        if os.path.exists(part):
+            os.remove(part)
+        raise
+
+
+def gzip_files(files: DataFrame) -> DataFrame:
+    """Compresses each file of a column path beside itself, as its name with .gz. Hidden files and .gz files are skipped (written is null).
+
+    Rows are path, written, error; files are written when the rows are taken. Paths must be reachable from the executors.
+    """
+    target = lambda p: None if os.path.basename(p).startswith(".") or p.lower().endswith(".gz") else p + ".gz"
+    return _each_file(files, target, lambda a, b: _copied(open, gzip.open, a, b))
+
+
+def gunzip_files(files: DataFrame) -> DataFrame:
+    """Unpacks each .gz file of a column path beside itself, as its name without .gz; others are skipped. Rows as in gzip_files."""
+    target = lambda p: p[:-3] if p.lower().endswith(".gz") and not os.path.basename(p).startswith(".") else None
+    return _each_file(files, target, lambda a, b: _copied(gzip.open, open, a, b))
+
+
 def save_gzip(rows: DataFrame, path: str) -> None:
     """Text lines (column value), compressed; reading them again needs no option."""
     rows.select("value").write.mode("overwrite").option("compression", "gzip").text(path)
