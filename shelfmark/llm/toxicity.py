@@ -35,8 +35,8 @@ THRESHOLD = 0.3
 #: The weights' proven bound: at most 2**BITS pairs of 12 bytes.
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SHIFT = np.uint64(64 - BITS)
-#: Words that a worker keeps the hashes of.
-CACHE = 400_000
+#: Words that a worker keeps the hashes of, in each of its two caches.
+CACHE = 200_000
 #: Characters of a word's stem; words that aren't longer have none of their own.
 STEM = 4
 
