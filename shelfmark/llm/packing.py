@@ -1,7 +1,8 @@
 """Operator 8: packing by cutting-stock column generation.
 
 A document's ids are cut every 4096 tokens; full pieces are sequences of their own, and what is left
-is an item. Items fall into 256 classes of UNIT tokens, and the histogram of classes (bounded,
+is an item. Items of FINE tokens at most are bundled with others of their length, so that a bundle fills
+whole units. Items and bundles fall into 256 classes of UNIT tokens, and the histogram of classes (bounded,
 whatever the corpus) is what the linear program sees: revised simplex over patterns of classes, with
 a knapsack by dynamic programming that prices new columns. Pricing ends at the optimum, or after MOST_STEPS
 columns, which is logged: the patterns found by then hold every item all the same, with more padding.
@@ -16,6 +17,7 @@ cut into as many pieces as it needs. Tables without rows give none. Other column
 from __future__ import annotations
 
 import logging
+import math
 import os
 import re
 import zlib
@@ -31,6 +33,8 @@ from shelfmark.llm.common import gapless, staged, table
 
 MODEL, END_ID, CAPACITY, UNIT = "word_bpe_49k.json", 2, 4096, 16
 CLASSES = CAPACITY // UNIT
+#: Pieces of so many tokens at most are bundled.
+FINE = 64
 #: Columns that the linear program generates at most.
 MOST_STEPS = 20_000
 #: Words that a worker keeps the ids of.
@@ -224,6 +228,25 @@ def plan(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int, d
     return found + [(1, b) for _, b in bins]
 
 
+def bundled(histogram: dict[int, int]) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """The histogram of unit classes, and for each class rows (first rank, pieces a bundle, unit class, first rank there).
+
+    A class below 0 holds the pieces of so many tokens, one above 0 those of so many units, which stay single.
+    """
+    units = {c: n for c, n in histogram.items() if c > 0}
+    rows = {c: [(0, 1, c, 0)] for c in units}
+    for c, n in sorted(histogram.items()):
+        if c < 0:
+            most = UNIT // math.gcd(c, UNIT)
+            whole, rest = divmod(n, most)
+            for first, pieces, copies in ((0, most, whole), (whole * most, rest, 1)):
+                if pieces and copies:
+                    u = -(c * pieces // UNIT)
+                    rows.setdefault(c, []).append((first, pieces, u, units.get(u, 0)))
+                    units[u] = units.get(u, 0) + copies
+    return units, {c: np.array(v, np.int64) for c, v in rows.items()}
+
+
 def places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     """For each class rows (first rank, items a copy, first sequence, first slot): which ranks go where."""
     out: dict[int, list] = {}
@@ -241,24 +264,35 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = staged(pieces(docs, doc_id, text, model).withColumn("class", F.when(F.col("length") == CAPACITY, 0).otherwise(F.ceil(F.col("length") / UNIT)).cast("int")), "pieces")
+    length = F.col("length")
+    kind = F.when(length == CAPACITY, 0).when(length <= FINE, -length).otherwise(F.ceil(length / UNIT)).cast("int")
+    rows = staged(pieces(docs, doc_id, text, model).withColumn("class", kind), "pieces")
     histogram = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    patterns = plan({c: n for c, n in histogram.items() if c})
-    shared = docs.sparkSession.sparkContext.broadcast(places(patterns))
+    units, bundles = bundled(histogram)
+    patterns = plan(units)
+    shared = docs.sparkSession.sparkContext.broadcast((bundles, places(patterns)))
     filled = sum(copies for copies, _ in patterns)
     ranked = gapless(rows, "class", ["doc_id", "start", "ids_crc32", "length"], "rank", sum(histogram.values()))
 
+    def row_of(table: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row that each rank falls in, and its rank there."""
+        found = table[np.searchsorted(table[:, 0], rank, "right") - 1]
+        return found, rank - found[:, 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundles, where = shared.value
         for batch in batches:
             kind, rank = np.asarray(batch.column("class")), np.asarray(batch.column("rank"))
             sequence, slot = rank + filled, np.zeros(len(rank), np.int64)
             for c in np.unique(kind).tolist():
                 if c:
                     at = np.flatnonzero(kind == c)
-                    table = shared.value[c]
-                    t = table[np.searchsorted(table[:, 0], rank[at], "right") - 1]
-                    k = rank[at] - t[:, 0]
-                    sequence[at], slot[at] = t[:, 2] + k // t[:, 1], t[:, 3] + k % t[:, 1]
+                    b, k = row_of(bundles[c], rank[at])
+                    item, inside = b[:, 3] + k // b[:, 1], k % b[:, 1]
+                    for u in np.unique(b[:, 2]).tolist():
+                        of = b[:, 2] == u
+                        t, k = row_of(where[u], item[of])
+                        sequence[at[of]], slot[at[of]] = t[:, 2] + k // t[:, 1], (t[:, 3] + k % t[:, 1]) * UNIT + inside[of]
             keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(slot)], [*keep, "sequence_id", "slot"])
 

@@ -72,6 +72,33 @@ def test_pack_round_trip(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_short_texts_fill_their_sequences(spark):
+    words = ["the", "of and", "a word", "", None, "one two three four five", "x, y; z.", "many " * 61]
+    rows = packing.pack(spark.createDataFrame([(i, words[i * i % 8 if i % 5 else 7 * i % 8]) for i in range(9001)], "doc_id long, text string")).collect()
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 9001 and len({r.doc_id for r in rows}) == 9001
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    assert len(by_sequence) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_bundles_hold_every_piece_once():
+    histogram = {-1: 33, -2: 7, -6: 100, -63: 17, -64: 5, 4: 3, 5: 2, 256: 1, 0: 9}
+    units, bundles = packing.bundled(histogram)
+    ranks = {u: [] for u in units}
+    for c, n in histogram.items():
+        for rank in range(n if c else 0):
+            first, pieces, u, start = max(r for r in bundles[c].tolist() if r[0] <= rank)
+            assert pieces * max(-c, 0) <= u * packing.UNIT < pieces * max(-c, 0) + packing.UNIT or c > 0
+            ranks[u].append((start + (rank - first) // pieces, (rank - first) % pieces, c))
+    for u, n in units.items():
+        assert len(set(ranks[u])) == len(ranks[u]) and {r[0] for r in ranks[u]} == set(range(n))
+
+
 def test_plan_holds_everything_and_wastes_little():
     rng = np.random.default_rng(1)
     lengths = np.clip((rng.lognormal(4.0, 1.0, 20_000)).astype(int), 1, 255)
