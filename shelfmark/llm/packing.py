@@ -37,12 +37,14 @@ CLASSES = CAPACITY // UNIT
 FINE = 64
 #: Columns that the linear program generates at most.
 MOST_STEPS = 20_000
-#: Words that a worker keeps the ids of.
-CACHE = 600_000
-#: Characters that are looked up at once.
-CHARS = 1_000_000
+#: Words that a worker keeps the ids of, and characters that such a word has at most.
+CACHE, LONGEST = 600_000, 64
 #: A word of Latin letters whose small forms are single characters, and a mark behind it at most.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: A character that keeps a text from being cut into pre-tokens here: beyond Latin-1, or white space and controls other than blanks, tabs and line ends.
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+#: The pre-tokens of a small-letter text without such characters: the model's own pattern, with its letters and numbers within Latin-1.
+_PIECE = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^ \t\n\ra-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _WORKER: dict[str, Ids] = {}
 
 
@@ -59,13 +61,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """Ids (as little-endian 32-bit bytes) by pre-token, which goes to the model itself in its own byte letters when it is first met."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        body = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        found = array("I", [t.id for t in self.model(body)]).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Ids(dict):
-    """Ids (as little-endian 32-bit bytes) by chunk between blanks.
+    """Ids by text, by pre-token and, as entries, by chunk between blanks.
 
-    White space parts pre-tokens in this model, so a text's ids are those of its chunks. A word of
-    Latin letters is one pre-token, a mark behind it is another, and letter case is dropped: such
-    words go to the model itself, in its own byte letters, and are kept by their small form.
-    Everything else goes through the whole tokenizer.
+    A text of Latin-1 letters and marks is normal but for its letter case, so it is put in small
+    letters and cut into pre-tokens here. One that may hold a special token (with "<|"), or odd
+    characters, is taken by chunks, as white space parts pre-tokens: a word of Latin letters is one
+    pre-token, a mark behind it is another; everything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -74,24 +93,21 @@ class Ids(dict):
 
         super().__init__()
         whole = Tokenizer.from_file(path)
-        self.encode, self.model, self.letters, self.words = whole.encode_batch_fast, whole.model.tokenize, byte_letters(), {}
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            body = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = array("I", [t.id for t in self.model(body)]).tobytes()
-            self.words[word] = found
-        return found
+        self.encode, self.words = whole.encode_batch_fast, Words(whole.model.tokenize)
+
+    def of(self, text: str) -> bytes:
+        if "<|" not in text and not _ODD.search(text):
+            return b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+        chunks = text.replace("\n", " ").split(" ")
+        self.learn(set(chunks))
+        return b"".join(map(self.__getitem__, chunks))
 
     def learn(self, chunks: set[str]) -> None:
         missing = chunks.difference(self.keys())
         if len(self) + len(missing) > CACHE:
             self.clear()
             missing = chunks
-        if len(self.words) > CACHE:
-            self.words.clear()
-        match, word, rest = _WORD.fullmatch, self.word, []
+        match, word, rest = _WORD.fullmatch, self.words.__getitem__, []
         for c in missing:
             m = match(c)
             if not m:
@@ -115,17 +131,9 @@ def ids_for(path: str) -> Ids:
 
 def ids_of(texts: list[str | None], ids: Ids) -> Iterator[bytes]:
     """Each text's ids with the closing one, as little-endian 32-bit bytes."""
-    end, at = np.array([END_ID], "<u4").tobytes(), 0
-    while at < len(texts):
-        group, size = [], 0
-        while at < len(texts) and (not group or size < CHARS):
-            t = texts[at] or ""
-            group.append(t.replace("\n", " ").split(" "))
-            size += len(t)
-            at += 1
-        ids.learn(set().union(*group))
-        for chunks in group:
-            yield b"".join(map(ids.__getitem__, chunks)) + end
+    end = np.array([END_ID], "<u4").tobytes()
+    for t in texts:
+        yield ids.of(t or "") + end
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:

@@ -72,6 +72,20 @@ def test_pack_round_trip(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_ids_are_the_library_s_own():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, ids, r = Tokenizer.from_file(packing.model_path()), packing.Ids(packing.model_path()), random.Random(11)
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(161, 256)]]
+    parts = ["don't", "WE'LL", "it''s", "x'", "ÀÉ", "ÿß", "²3½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "a.%%%", "\xa0", "\x85", "\x1c", "\0", "İ", "Σς", "e\u0301", "中文", "𝔘", "’s", "q" * 200, "Ab" * 50]
+    texts = ["".join(r.choice(plain) for _ in range(r.randrange(40))) for _ in range(6000)]
+    texts += ["".join(r.choice(parts if r.random() < 0.3 else [*plain, "the", " of ", "'s", "  "]) for _ in range(r.randrange(25))) for _ in range(6000)]
+    for text, got in zip(texts, packing.ids_of(texts, ids), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2], repr(text)
+
+
 def test_short_texts_fill_their_sequences(spark):
     words = ["the", "of and", "a word", "", None, "one two three four five", "x, y; z.", "many " * 61]
     rows = packing.pack(spark.createDataFrame([(i, words[i * i % 8 if i % 5 else 7 * i % 8]) for i in range(9001)], "doc_id long, text string")).collect()
