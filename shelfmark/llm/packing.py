@@ -39,8 +39,6 @@ FINE = 64
 MOST_STEPS = 20_000
 #: Words that a worker keeps the ids of, and characters that such a word has at most.
 CACHE, LONGEST = 600_000, 64
-#: A word of Latin letters whose small forms are single characters, and a mark behind it at most.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: A character that keeps a text from being cut into pre-tokens here: beyond Latin-1, or white space and controls other than blanks, tabs and line ends.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
 #: The pre-tokens of a small-letter text without such characters: the model's own pattern, with its letters and numbers within Latin-1.
@@ -78,13 +76,17 @@ class Words(dict):
         return found
 
 
+def plain(text: str) -> bool:
+    return "<|" not in text and not _ODD.search(text)
+
+
 class Ids(dict):
     """Ids by text, by pre-token and, as entries, by chunk between blanks.
 
     A text of Latin-1 letters and marks is normal but for its letter case, so it is put in small
     letters and cut into pre-tokens here. One that may hold a special token (with "<|"), or odd
-    characters, is taken by chunks, as white space parts pre-tokens: a word of Latin letters is one
-    pre-token, a mark behind it is another; everything else goes through the whole tokenizer.
+    characters, is taken by chunks, as white space parts pre-tokens: only the chunks that hold
+    these go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -96,26 +98,26 @@ class Ids(dict):
         self.encode, self.words = whole.encode_batch_fast, Words(whole.model.tokenize)
 
     def of(self, text: str) -> bytes:
-        if "<|" not in text and not _ODD.search(text):
-            return b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+        if plain(text):
+            return self.cut(text)
         chunks = text.replace("\n", " ").split(" ")
         self.learn(set(chunks))
         return b"".join(map(self.__getitem__, chunks))
 
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+
     def learn(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self.keys())
+        missing = [c for c in chunks if c not in self]
         if len(self) + len(missing) > CACHE:
             self.clear()
             missing = chunks
-        match, word, rest = _WORD.fullmatch, self.words.__getitem__, []
+        rest = []
         for c in missing:
-            m = match(c)
-            if not m:
-                rest.append(c)
-            elif m[2]:
-                self[c] = word(m[1].lower()) + word(m[2])
+            if plain(c):
+                self[c] = self.cut(c)
             else:
-                self[c] = word(c.lower())
+                rest.append(c)
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             for c, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
