@@ -5,7 +5,8 @@ the radius are dealt to a common shard; a shard of at most SHARD classes is a BK
 by integer Hamming distance to the parent), and its members search it along edges within the radius.
 A larger shard is split: every tree of SHARD classes is sent to each part of the shard's members. A
 shard yields at most one link per member (to the least of its component there), and alternating
-stars over tables in the shared folder join the links to components; nothing is collected to the driver.
+stars over tables in the shared folder join the links to components; nothing is collected to the driver,
+and no table that grows with the corpus is broadcast.
 
 group() is exact: fingerprints of 64 bits that differ in at most r bits agree on whole blocks of bits,
 so each class goes to one shard for every choice of blocks. survivors() looks for texts whose word
@@ -33,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.llm.common import discard, staged, table
 
@@ -282,10 +283,15 @@ def block_keys(classes: DataFrame, n: int, radius: int) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp binary")
 
 
+def merged(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides. Both grow with the corpus, and files of 10 MB (Spark's default) hold over a million classes, whose hash table the driver would have to build to broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def links(rows: DataFrame, radius: int, of_shard: Callable[[list[int], list[int] | None, int], list[tuple[int, int]]] = links_of_shard) -> DataFrame:
     """Links a < b between fingerprints that share a key (columns key, fp, without repeats): they join what lies within the radius. Or the pairs a, b that of_shard makes of each shard."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
-    rows = rows.join(sizes, F.col("key") == F.col("_key"))
+    rows = merged(rows, sizes, F.col("key") == F.col("_key"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp")
@@ -329,10 +335,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not is_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = merged(both, least, F.col("u") == F.col("k")).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # Now each v may have several smaller u: all hang on the least of them.
         small = large.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m"))
-        hung = large.join(small, F.col("v") == F.col("k"))
+        hung = merged(large, small, F.col("v") == F.col("k"))
         before, edges = edges, staged(hung.select(F.col("m").alias("u"), "v").union(hung.where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(), "links")
         discard(before)
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
@@ -347,7 +353,7 @@ def is_stars(edges: DataFrame) -> bool:
 
 def rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
     """classes (fp, ...) with the root of each one's component."""
-    return staged(classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "roots")
+    return staged(merged(classes, found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "roots")
 
 
 def group(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,8 +362,8 @@ def group(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, doc_id: str =
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     known = rooted(classes, components(links(block_keys(classes, classes.count(), radius), radius)))
     least = known.groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("component_id"))
-    label = known.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(label, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    label = merged(known, least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    return merged(rows, label, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def near_radius(similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> int:
@@ -370,8 +376,8 @@ def verified(groups: DataFrame, docs: DataFrame, k: int, radius: int, similarity
     """Links a, b between the members of groups (columns a: group, b: member) whose texts have the similarity. A text goes to each group that it is in."""
     tag = F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
     member = groups.select(F.col("a").alias("group"), F.col("b").alias("member"), F.substring("b", NEAR_BITS // 8 + 1, 8).alias("tag"))
-    wanted = docs.select(tag.alias("_tag"), F.col(text).alias("text")).join(member.select(F.col("tag").alias("_tag")).distinct(), "_tag", "left_semi")
-    rows = member.join(wanted.groupBy("_tag").agg(F.first("text").alias("text")), F.col("tag") == F.col("_tag")).select("group", "member", "text")
+    wanted = merged(docs.select(tag.alias("_tag"), F.col(text).alias("text")), member.select(F.col("tag").alias("_tag")).distinct(), "_tag", "left_semi")
+    rows = merged(member, wanted.groupBy("_tag").agg(F.first("text").alias("text")), F.col("tag") == F.col("_tag")).select("group", "member", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, sets = None, [], []
@@ -404,7 +410,7 @@ def survivors(docs: DataFrame, k: int = NEAR_SHINGLE, similarity: float = SIMILA
     chosen = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.tag").alias("_keep_tag"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # one column, so that no name can clash
     keyed = docs.select(whole.alias("row"), F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.xxhash64(text).alias("tag"))
-    kept = keyed.join(chosen, (F.col("id") == F.col("_keep_id")) & (F.col("tag") == F.col("_keep_tag")), "left_semi")
+    kept = merged(keyed, chosen, (F.col("id") == F.col("_keep_id")) & (F.col("tag") == F.col("_keep_tag")), "left_semi")
     return kept.dropDuplicates(["id", "tag"]).select("row.*")
 
 

@@ -188,3 +188,19 @@ def test_masks_lose_no_pair():
             for b in r.sample(range(64), 4):
                 d |= 1 << b
             assert any(d & m == 0 for m in simhash.masks(n, 4))
+
+
+def test_no_join_is_broadcast(docs, monkeypatch):
+    """Tables that grow with the corpus never pass through the driver, however small their files are."""
+    plans, staged = [], simhash.staged
+
+    def run(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollectPublic()
+        plans.append(plan.toString())
+        return df
+
+    monkeypatch.setattr(simhash, "staged", lambda df, name: staged(run(df), name))
+    run(simhash.group(docs))
+    run(simhash.survivors(docs))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
