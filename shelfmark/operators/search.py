@@ -80,18 +80,22 @@ def in_volumes(items: DataFrame, volumes: DataFrame) -> DataFrame:
     return items.join(volumes.select("volume_id"), "volume_id", "left_semi")
 
 
-def duplicate_key(crc: Column, name: Column, length: Column) -> Column:
-    """By checksum where there is one, else by name and length; the two never meet."""
-    return F.when(crc != 0, F.struct(F.lit("C").alias("by"), crc.cast("string").alias("key"))).otherwise(F.struct(F.lit("N").alias("by"), name_length_key(name, length).alias("key")))
+def duplicate_key(crc: Column, name: Column, length: Column, digest: Column | None = None) -> Column:
+    """By checksum where there is one, else by name and length; the two never meet.
+
+    A checksum of 32 bits is that of other contents too, so a digest of the contents, where it is known, tells them apart.
+    """
+    known = F.lit(None).cast("string") if digest is None else digest
+    return F.when((crc != 0) | known.isNotNull(), F.struct(F.lit("C").alias("by"), F.concat_ws(":", crc.cast("string"), known).alias("key"))).otherwise(F.struct(F.lit("N").alias("by"), name_length_key(name, length).alias("key")))
 
 
 def duplicates(items: DataFrame) -> DataFrame:
-    """Files whose key another file has too, with dup_key.
+    """Files whose key another file has too, with dup_key. A column digest is used if there is one.
 
     Keys are counted before they are shuffled and joined back, so a key with very many files is
     split by the join instead of sorted in one task. Files without a key (null name or length) never repeat.
     """
-    files = items.where("kind = 'File'").withColumn("dup_key", duplicate_key(F.col("crc"), F.col("name"), F.col("length")))
+    files = items.where("kind = 'File'").withColumn("dup_key", duplicate_key(F.col("crc"), F.col("name"), F.col("length"), F.col("digest") if "digest" in items.columns else None))
     repeated = files.where("dup_key.key is not null").groupBy("dup_key").agg(F.count("*").alias("_n")).where("_n > 1").select("dup_key")
     return files.join(repeated, "dup_key", "left_semi")
 

@@ -36,6 +36,7 @@ def docs_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", "source", "lang").alias("path"),
         F.col("n_chars").alias("length"),
         F.crc32(F.col("text").cast("binary")).alias("crc"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
         F.concat_ws(";", "lang", "source").alias("keywords"),
         "lang",
         "source",
