@@ -32,7 +32,7 @@ def docs_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("item_id"),
         F.lit("File").alias("kind"),
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+        F.concat_ws("", F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
         F.concat_ws("/", "source", "lang").alias("path"),
         F.col("n_chars").alias("length"),
         F.crc32(F.col("text").cast("binary")).alias("crc"),

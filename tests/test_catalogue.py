@@ -374,3 +374,8 @@ def same_as_sql(spark, folder, name):
 def test_mixed_duplicates_of_one_checksum(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "dup_mixed")
     assert {1, 4}.isdisjoint(got) and {7, 10, 300, 303} <= set(got)
+
+
+def test_duplicates_of_one_checksum(spark, tmp_path):
+    got = same_as_sql(spark, tmp_path, "dup_crc")
+    assert {28, 31, 100, 103}.isdisjoint(got) and {7, 10, 16, 19, None} <= set(got)
