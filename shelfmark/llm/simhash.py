@@ -13,8 +13,8 @@ so each class goes to one shard for every choice of blocks. survivors() looks fo
 shingles are similar by a share of 0.8 or more, which 64-bit fingerprints hold up to 18 bits apart:
 it takes 128 bits of each shingle once and deals by MINHASHES minimal shingle hashes (two texts of
 similarity 0.8 share none of them with a probability of 0.2**MINHASHES). There the radius, SLACK
-standard deviations wide, only finds candidates: texts that it joins within a shard form a group, to
-which their texts are sent, and links are pairs of a group whose sets of shingles have that similarity.
+standard deviations wide, only finds candidates, by searches in BK-trees as above (a shard has one for each
+range of sizes): texts that they join within a shard form a group, to which their texts are sent, and links are pairs of a group whose sets of shingles have that similarity.
 Different texts are different members even where their fingerprints are equal.
 
 Null or empty text: fingerprint zero, linked like any other (two empty sets of shingles count as equal). A null doc_id counts after every id: the
@@ -130,14 +130,17 @@ class BKTree:
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.parents: list[int] = []
 
-    def add(self, value: int) -> None:
-        at, values, children = 0, self.values, self.children
+    def add(self, value: int) -> int:
+        """The place of the value."""
+        at, values, children = -1, self.values, self.children
         if values:
+            at = 0
             while True:
                 d = (values[at] ^ value).bit_count()
                 if d == 0:
-                    return
+                    return at
                 below = children[at].get(d)
                 if below is None:
                     children[at][d] = len(values)
@@ -145,9 +148,11 @@ class BKTree:
                 at = below
         values.append(value)
         children.append({})
+        self.parents.append(at)
+        return len(values) - 1
 
-    def within(self, value: int, radius: int) -> Iterator[int]:
-        """Places of the values at most radius away; only edges from d - radius to d + radius are followed."""
+    def within(self, value: int, radius: int, live: list[int] | None = None) -> Iterator[int]:
+        """Places of the values at most radius away; only edges from d - radius to d + radius are followed, and of those none to a place where live is 0."""
         if not self.values:
             return
         todo, values, children = [0], self.values, self.children
@@ -157,7 +162,7 @@ class BKTree:
             if d <= radius:
                 yield at
             for e, c in children[at].items():
-                if d - radius <= e <= d + radius:
+                if d - radius <= e <= d + radius and (live is None or live[c]):
                     todo.append(c)
 
 
@@ -218,13 +223,69 @@ def near_by_bits(members: list[bytes], radius: int, similarity: float) -> tuple[
     return sizes, near
 
 
+def joined_by_trees(kinds: list[tuple[int, int]], radius: int, similarity: float) -> list[list[int]]:
+    """The components of the kinds (size, fingerprint; sorted): BK-trees find those within the radius whose sizes allow the similarity.
+
+    A tree holds sizes up to its least by the similarity, so that each kind searches its own tree, the one before and the one after.
+    What is found leaves its tree, and branches without any left are not followed: a large group is not searched by all its pairs.
+    """
+    trees: list[tuple[BKTree, list[list[int]], list[int]]] = []
+    places, least = [], -1.0
+    for i, (size, value) in enumerate(kinds):
+        if size > least / similarity:
+            least = size
+            trees.append((BKTree(), [], []))
+        tree, held, live = trees[-1]
+        at = tree.add(value)
+        if at == len(held):
+            held.append([])
+            live.append(0)
+        held[at].append(i)
+        places.append((len(trees) - 1, at))
+        while at >= 0:
+            live[at] += 1
+            at = tree.parents[at]
+
+    def leave(i: int) -> int:
+        tree, held, live = trees[places[i][0]]
+        at = places[i][1]
+        held[at].remove(i)
+        while at >= 0:
+            live[at] -= 1
+            at = tree.parents[at]
+        return i
+
+    found, done = [], [False] * len(kinds)
+    for i in reversed(range(len(kinds))):  # from the leaves, so that branches empty early
+        if done[i]:
+            continue
+        todo, joined = [leave(i)], [i]
+        while todo:
+            k = todo.pop()
+            done[k] = True
+            size, value = kinds[k]
+            for tree, held, live in trees[max(0, places[k][0] - 1) : places[k][0] + 2]:
+                for at in tree.within(value, radius, live):
+                    near = [leave(j) for j in held[at][:] if min(kinds[j][0], size) >= similarity * max(kinds[j][0], size)]
+                    todo += near
+                    joined += near
+        found.append(joined)
+    return found
+
+
 def candidates_of_shard(trees: list[int], others: list[int] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
     """(group, member) of the groups that candidate links join in a shard. A group is named by a hash of its members, so that the shards that find it agree."""
-    members = sorted(v.to_bytes(NEAR_BITS // 8 + 12, "big") for v in trees + (others or []))
-    sizes, near = near_by_bits(members, radius, similarity)
-    found = []
-    for tree in spread(len(members), near):
-        at = np.sort([tree[0][0], *(j for _, j in tree)])
+    width = NEAR_BITS // 8
+    members = sorted(v.to_bytes(width + 12, "big") for v in trees + (others or []))
+    sizes = np.array([int.from_bytes(m[width + 8 :], "big") for m in members], np.int64)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, m in enumerate(members):
+        alike.setdefault((int(sizes[i]), int.from_bytes(m[:width], "big")), []).append(i)
+    kinds, found = sorted(alike), []
+    for joined in joined_by_trees(kinds, radius, similarity):
+        at = np.sort([i for k in joined for i in alike[kinds[k]]])
+        if len(at) < 2:
+            continue
         part = np.cumsum(sizes[at]) // PART_SHINGLES
         parts = [at[part == p].tolist() for p in np.unique(part)]
         for group in [x + y for x, y in combinations(parts, 2)] or parts:

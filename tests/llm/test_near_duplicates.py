@@ -204,3 +204,28 @@ def test_no_join_is_broadcast(docs, monkeypatch):
     run(simhash.group(docs))
     run(simhash.survivors(docs))
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_candidates_come_from_trees(monkeypatch):
+    """The groups of a shard are the components of fingerprints within the radius and sizes within the similarity, and each kind of member searched trees for them."""
+    r = random.Random(17)
+    members = [bytes(16) + bytes(8) + bytes(4)]
+    for _ in range(25):
+        centre, size = r.getrandbits(128), r.choice([1, 4, 5, 40, 50, 1000])
+        for _ in range(8):
+            v = centre
+            for b in r.sample(range(128), r.choice([0, 10, 30, 43, 44])):
+                v ^= 1 << b
+            members.append(v.to_bytes(16, "big") + len(members).to_bytes(8, "big") + max(1, round(size * r.uniform(0.7, 1.3))).to_bytes(4, "big"))
+    number = lambda x: int.from_bytes(x, "big")
+    pairs = [(i, j) for i, a in enumerate(members) for j, b in enumerate(members[:i]) if (number(a[:16]) ^ number(b[:16])).bit_count() <= 43 and min(number(a[24:]), number(b[24:])) >= 0.8 * max(number(a[24:]), number(b[24:]))]
+    want = {frozenset(g) for g in connected(pairs, len(members)) if len(g) > 1}
+    searched, within = set(), simhash.BKTree.within
+    monkeypatch.setattr(simhash.BKTree, "within", lambda self, value, radius, live=None: searched.add((value, radius)) or within(self, value, radius, live))
+    for others in (None, [number(m) for m in members[90:]]):
+        groups = {}
+        for name, m in simhash.candidates_of_shard([number(m) for m in members[: 90 if others else None]], others, 43, 0.8):
+            groups.setdefault(name, set()).add(members.index(m.to_bytes(28, "big")))
+        assert {frozenset(g) for g in groups.values()} == want and len(want) > 20
+        assert searched == {(number(m[:16]), 43) for m in members}
+        searched.clear()
